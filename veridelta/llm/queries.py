@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veridelta.llm import bpe
-from veridelta.llm.common import table
+from veridelta.llm import bpe, langid, quality
+from veridelta.llm.common import crc_mod, table
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -19,3 +20,14 @@ def _query(fn):
 @_query
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@_query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return langid.predict(docs, langid.learn(docs)).withColumn("held_out", crc_mod("doc_id", 5) == 0)
+
+
+@_query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents", "doc_id", "text"))
