@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridelta.llm import bpe, langid, quality
+from veridelta.llm import ann, bpe, chat_format, langid, license_scan, mixing, quality
 from veridelta.llm.common import crc_mod, table
 
 QUERIES = {}
@@ -31,3 +31,27 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@_query
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+ORACLE_SQL["op7_chat_formatting"] = chat_format.ORACLE_SQL
+
+
+@_query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return mixing.mix(docs, ["doc_id", "source"], with_plan=True)
+
+
+@_query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@_query
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
