@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridelta.llm import ann, bpe, chat_format, langid, license_scan, mixing, quality
+from veridelta.llm import ann, bpe, chat_format, langid, license_scan, lm_scoring, mixing, quality, toxicity
 from veridelta.llm.common import crc_mod, table
 
 QUERIES = {}
@@ -55,3 +55,15 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@_query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    index = toxicity.learn(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score(docs, index).withColumn("held_out", crc_mod("doc_id", 5) == 0)
+
+
+@_query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_held_out(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples under TF-IDF cosine.
 
 A bounded sample of labelled documents (whole texts) is indexed: at most ``max_toxic`` and
-``max_clean``, those of the least hash of doc_id. Terms are runs of letters, lower-cased; the
+``max_clean``, those of the least hash of doc_id. Terms are runs of letters, lower-cased, and the
+character n-grams of these words with marks at their ends (insults are inflected); the
 vocabulary holds terms in a share of ``min_df`` to ``max_df`` of the examples whose
 chi-squared against the label passes a threshold corrected for the number of terms.
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -32,7 +34,20 @@ from pyspark.sql import functions as F
 
 from veridelta.llm.common import crc_mod, map_arrow
 
-_terms = re.compile(r"[^\W\d_]+").findall
+_words = re.compile(r"[^\W\d_]+").findall
+GRAMS = (4, 5)
+
+
+def terms_of(word: str) -> list[str]:
+    marked = f"<{word}>"
+    return [word, *(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))]
+
+
+def _terms(text: str | None) -> set[str]:
+    out: set[str] = set()
+    for word in set(_words((text or "").lower())):
+        out.update(terms_of(word))
+    return out
 
 
 @dataclass
@@ -49,10 +64,18 @@ class Index:
     shift: float = 0.0
     without: float = 0.0
     cache: dict = field(default_factory=dict)
+    words: dict = field(default_factory=dict)
 
     def vector(self, text: str | None) -> tuple[tuple[int, float], ...]:
-        known = self.vocabulary
-        counts = Counter(known[w] for w in _terms((text or "").lower()) if w in known)
+        known, counts, ids_of = self.vocabulary, Counter(), self.words.get
+        if len(self.words) > 500_000:
+            self.words.clear()
+        for word in _words((text or "").lower()):
+            ids = ids_of(word)
+            if ids is None:
+                ids = self.words[word] = tuple(known[t] for t in set(terms_of(word)) if t in known)
+            if ids:
+                counts.update(ids)
         if not counts:
             return ()
         weights = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
@@ -94,15 +117,31 @@ class Index:
         return found
 
 
+def _once(rows: list[tuple[int, str, int]], rare: float = 0.01) -> list[tuple[int, str, int]]:
+    """One example of each group of near copies, so that a group's own words don't look like signs
+    of its label: an example goes if any of four min-hashes of its rare terms was met before."""
+    sets = [set(_words((r[1] or "").lower())) for r in rows]
+    df = Counter(t for s in sets for t in s)
+    met: set[tuple] = set()
+    out = []
+    for row, terms in zip(rows, sets, strict=True):
+        few = [t.encode() for t in terms if df[t] <= max(2, rare * len(rows))]
+        marks = {(i, row[2], min(zlib.crc32(t, i) for t in few)) for i in range(4)} if few else set()
+        if not marks & met:
+            out.append(row)
+        met |= marks
+    return out
+
+
 def build(rows: list[tuple[int, str, int]], rate: float, k: int = 15, min_df: float = 0.004, max_df: float = 0.25, alpha: float = 1e-3, block: int = 64) -> Index | None:
     """rows: (doc_id, text, toxic). rate: the share of toxic among all labelled rows."""
-    rows = sorted(rows, key=lambda r: r[0])
+    rows = _once(sorted(rows, key=lambda r: r[0]))
     if not rows:
         return None
     label = np.array([r[2] for r in rows])
     df, hits = Counter(), Counter()
     for _, text, y in rows:
-        seen = set(_terms((text or "").lower()))
+        seen = _terms(text)
         df.update(seen)
         if y:
             hits.update(seen)
@@ -160,7 +199,7 @@ def _fit(index: Index, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
     index.slope, index.shift = float(beta[0]), float(beta[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, max_toxic: int = 2000, max_clean: int = 4000, **options) -> Index | None:
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, max_toxic: int = 1500, max_clean: int = 3000, **options) -> Index | None:
     """Learn from labelled documents outside fold 0."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(crc_mod("doc_id", folds) != 0)
     counts = {r["toxic"]: r["count"] for r in known.groupBy((F.col("toxic") == 1).cast("int").alias("toxic")).count().collect()}
