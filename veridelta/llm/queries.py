@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridelta.llm import ann, bpe, chat_format, langid, license_scan, lm_scoring, mixing, quality, toxicity
+from veridelta.llm import ann, bpe, chat_format, langid, license_scan, lm_scoring, mixing, ngram_jaccard, quality, toxicity
 from veridelta.llm.common import crc_mod, table
 
 QUERIES = {}
@@ -67,3 +67,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_held_out(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@_query
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.link(table(spark, sf_dir, "documents", "doc_id", "text"))
