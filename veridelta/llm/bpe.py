@@ -388,16 +388,16 @@ def decode(tokens: DataFrame, path: str | None = None, pattern: str | None = Non
     return map_arrow(tokens.select("doc_id", "ids"), "doc_id long, text string", run)
 
 
-def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
     """Encode, then decode, each whole text in one pass; what remains are counts and digests.
 
     doc_id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers),
-    decoded_sha256 (of the decoded bytes), n_bytes."""
+    decoded_sha256 (of the decoded bytes), n_bytes; with_ids adds ids (array<int>)."""
     path, pattern = path or default_vocabulary(), pattern or default_pattern()
 
     def run(batch):
         enc = encoder(path, pattern)
-        dec, sizes, ids_sha, text_sha, lengths = _decoder(enc), [], [], [], []
+        dec, sizes, ids_sha, text_sha, lengths, kept = _decoder(enc), [], [], [], [], []
         for text in batch.column("text"):
             ids = enc.encode(text.as_py() or "")
             raw = dec.decode(ids.tolist()).encode()
@@ -405,6 +405,8 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
             ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
             text_sha.append(hashlib.sha256(raw).hexdigest())
             lengths.append(len(raw))
-        return {"doc_id": batch.column("doc_id"), "n_tokens": sizes, "ids_sha256": ids_sha, "decoded_sha256": text_sha, "n_bytes": lengths}
+            if with_ids:
+                kept.append(ids.astype(np.int32))
+        return {"ids": kept, "doc_id": batch.column("doc_id"), "n_tokens": sizes, "ids_sha256": ids_sha, "decoded_sha256": text_sha, "n_bytes": lengths}
 
-    return map_arrow(docs.select("doc_id", "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long", run)
+    return map_arrow(docs.select("doc_id", "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long" + ", ids array<int>" * with_ids, run)
