@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Every code point that counts as white space for Unicode-aware patterns.
 SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
@@ -113,16 +114,12 @@ def ratio(left: str, right: str) -> float:
     return 1.0 if left == right else SequenceMatcher(None, left, right).ratio()
 
 
-@F.pandas_udf("double")
-def _sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def _ratios(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in pairs:
         yield pd.Series([ratio(a or "", b or "") for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
-#: Evaluated once for each row even where a filter follows.
-_once = _sequence_ratio.asNondeterministic()
-
-
 def sequence_ratio(left: Column | str, right: Column | str) -> Column:
-    """ratio() as a column; put cheap filters before it."""
-    return _once(_col(left), _col(right))
+    """ratio() as a column, worked out once for each row even where a filter follows; put cheap
+    filters before it."""
+    return F.pandas_udf(_ratios, DoubleType()).asNondeterministic()(_col(left), _col(right))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridelta.functions.text import is_numeric_column, normalize_cell, normalize_number, normalize_number_or_text
+from veridelta.sources.shared import stored
 
 LINEAGE = ("_source_file", "_source_page", "_source_table", "_source_row")
 
@@ -116,7 +117,8 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str, start: int = 0,
     parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     keyed = keyed.withColumn("_id", F.monotonically_increasing_id())
-    keyed = keyed.withColumn("_part", F.shiftright("_id", 33))
+    # Range bounds are sampled, so the numbered rows are kept: both uses below must see the same.
+    keyed = stored(keyed.withColumn("_part", F.shiftright("_id", 33)), "numbered")
     sizes = keyed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))

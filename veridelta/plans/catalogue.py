@@ -1,4 +1,405 @@
 """Registered queries and the SQL that must give the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from veridelta.functions import layout, text
+from veridelta.operators import align, cells, elements, evidence, images, tables
+from veridelta.plans import compare
+from veridelta.sources import html, ocr
+
 QUERIES = {}
 ORACLE_SQL = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- derived inputs -------------------------------------------------------------------------
+
+_EN = "lang = 'en' AND strlen(text) = length(text)"
+_B_PAGES = f"b_pages AS (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) page_number, doc_id, text FROM documents WHERE {_EN})"
+_C_PAGES = f"c_pages AS (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) page_number, doc_id, CASE WHEN doc_id % 7 = 2 THEN replace(text, 'the', 'teh') ELSE text END AS text FROM documents WHERE {_EN} AND doc_id % 11 <> 3)"
+_B_CELLS = "b_cells AS (SELECT l_orderkey, l_linenumber, max(l_quantity) quantity, max(CAST(l_extendedprice AS DECIMAL(15,2))) price, max(l_returnflag) flag FROM lineitem WHERE l_orderkey % 19 <> 0 GROUP BY l_orderkey, l_linenumber)"
+_C_CELLS = "c_cells AS (SELECT l_orderkey, l_linenumber, max(l_quantity) + CASE WHEN l_orderkey % 13 = 0 THEN 1 ELSE 0 END quantity, max(CAST(l_extendedprice AS DECIMAL(15,2))) price, max(l_returnflag) flag FROM lineitem WHERE l_orderkey % 17 <> 0 GROUP BY l_orderkey, l_linenumber)"
+
+
+def _english(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where("lang = 'en' AND octet_length(text) = length(text)")
+
+
+def _paged(docs):
+    number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    return docs.select("source", number.alias("page_number"), "doc_id", "text")
+
+
+def b_pages(spark, sf_dir):
+    return _paged(_english(spark, sf_dir))
+
+
+def c_pages(spark, sf_dir):
+    edited = F.when(F.col("doc_id") % 7 == 2, F.replace("text", F.lit("the"), F.lit("teh"))).otherwise(F.col("text"))
+    return _paged(_english(spark, sf_dir).where("doc_id % 11 <> 3").withColumn("text", edited))
+
+
+def _line_cells(spark, sf_dir, drop: int):
+    rows = read(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % drop != 0)
+    return rows.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("quantity"), F.max(F.col("l_extendedprice").cast("decimal(15,2)")).alias("price"), F.max("l_returnflag").alias("flag"))
+
+
+def b_cells(spark, sf_dir):
+    return _line_cells(spark, sf_dir, 19)
+
+
+def c_cells(spark, sf_dir):
+    return _line_cells(spark, sf_dir, 17).withColumn("quantity", F.col("quantity") + F.when(F.col("l_orderkey") % 13 == 0, 1).otherwise(0))
+
+
+_KEYS = ["l_orderkey", "l_linenumber"]
+
+
+# ---- scalar functions -----------------------------------------------------------------------
+
+
+@query("SELECT page_id, url, CASE WHEN ext = '.pdf' THEN 'pdf' WHEN ext = '.docx' THEN 'docx' WHEN ext IN ('.png','.jpg','.jpeg','.bmp','.tif','.tiff') THEN 'image' ELSE 'unknown' END AS file_type FROM (SELECT page_id, u AS url, lower(regexp_extract(u, '[^/\\\\](\\.[^./\\\\]+)$', 1)) AS ext FROM (SELECT page_id, url || CASE page_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.DOCX' WHEN 2 THEN '.Jpeg' WHEN 3 THEN '.tiff' ELSE '' END AS u FROM pages))")
+def q_detect_file_type(spark, sf_dir):
+    n = F.col("page_id") % 5
+    url = F.concat("url", F.when(n == 0, ".pdf").when(n == 1, ".DOCX").when(n == 2, ".Jpeg").when(n == 3, ".tiff").otherwise(""))
+    return read(spark, sf_dir, "pages").select("page_id", url.alias("url")).withColumn("file_type", layout.file_type("url"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')) AS normalized, regexp_replace(text, '[\\s\\p{Z}]+', '', 'g') AS compacted FROM documents")
+def q_normalize_text(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", text.collapse_space("text").alias("normalized"), text.compact("text").alias("compacted"))
+
+
+_MONEY = "CASE l_linenumber % 4 WHEN 0 THEN '￥' || p || '元' WHEN 1 THEN '(' || p || ')' WHEN 2 THEN '—' || p ELSE 'n/a ' || p END"
+
+
+@query(f"WITH d AS (SELECT l_orderkey, l_linenumber, {_MONEY} AS raw FROM (SELECT *, CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS VARCHAR) AS p FROM lineitem)) SELECT l_orderkey, l_linenumber, raw, CAST(TRY_CAST(regexp_replace(trim(translate(raw, '−—－,，￥¥元', '---')), '^\\((.*)\\)$', '-\\1') AS DECIMAL(38,10)) AS DECIMAL(38,2)) AS number FROM d")
+def q_normalize_numeric(spark, sf_dir):
+    p = F.col("l_extendedprice").cast("decimal(15,2)").cast("string")
+    n = F.col("l_linenumber") % 4
+    raw = F.when(n == 0, F.concat(F.lit("￥"), p, F.lit("元"))).when(n == 1, F.concat(F.lit("("), p, F.lit(")"))).when(n == 2, F.concat(F.lit("—"), p)).otherwise(F.concat(F.lit("n/a "), p))
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"))
+    return rows.withColumn("number", text.normalize_number("raw").cast("decimal(38,2)"))
+
+
+@query(f"WITH d AS (SELECT source, doc_id, list_distinct(regexp_extract_all(lower(text), '([\\p{{L}}\\p{{N}}_]+)', 1)) AS t FROM documents WHERE {_EN}), p AS (SELECT source, doc_id, t, lead(t) OVER w AS t2, lead(doc_id) OVER w AS next_id FROM d WINDOW w AS (PARTITION BY source ORDER BY doc_id)) SELECT doc_id, next_id, len(t)::BIGINT AS n_tokens, round(len(list_intersect(t, t2)) / (len(t) + len(t2) - len(list_intersect(t, t2))), 4) AS jaccard FROM p WHERE next_id IS NOT NULL")
+def q_tokens_jaccard(spark, sf_dir):
+    w = Window.partitionBy("source").orderBy("doc_id")
+    rows = _english(spark, sf_dir).select("source", "doc_id", text.tokens("text").alias("t"))
+    rows = rows.select("doc_id", "t", F.lead("t").over(w).alias("t2"), F.lead("doc_id").over(w).alias("next_id")).where("next_id IS NOT NULL")
+    return rows.select("doc_id", "next_id", F.size("t").cast("long").alias("n_tokens"), F.round(text.jaccard("t", "t2"), 4).alias("jaccard"))
+
+
+@query(f"WITH {_B_PAGES} SELECT source, page_number, substr(sha256(n), 1, 16) AS text_signature, length(n)::BIGINT AS text_length, len(list_distinct(regexp_extract_all(lower(n), '([\\p{{L}}\\p{{N}}_]+)', 1)))::BIGINT AS n_tokens, substr(n, 1, 120) AS heading, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS n_paragraphs FROM (SELECT *, trim(regexp_replace(text, '[\\s\\p{{Z}}]+', ' ', 'g')) AS n FROM b_pages)")
+def q_fingerprint(spark, sf_dir):
+    pages = b_pages(spark, sf_dir).withColumnRenamed("source", "pair_id")
+    page_rows, element_rows = compare.from_texts(pages.limit(0), pages)
+    prints = align.fingerprints(page_rows, element_rows)
+    count = F.coalesce(F.try_element_at("type_counts", F.lit("paragraph")), F.lit(0)).cast("long")
+    return prints.select(F.col("pair_id").alias("source"), "page_number", "text_signature", F.col("text_length").cast("long").alias("text_length"), F.size("tokens").cast("long").alias("n_tokens"), F.coalesce(F.get("headings", F.lit(0)), F.lit("")).alias("heading"), count.alias("n_paragraphs"))
+
+
+@query("SELECT p_partkey, levenshtein(a, b)::BIGINT AS distance, CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 4) END AS similarity FROM (SELECT p_partkey, CAST(p_name AS VARCHAR) AS a, CAST(lead(p_name) OVER (PARTITION BY p_partkey % 16 ORDER BY p_partkey) AS VARCHAR) AS b FROM part) WHERE b IS NOT NULL")
+def q_text_distance(spark, sf_dir):
+    w = Window.partitionBy(F.col("p_partkey") % 16).orderBy("p_partkey")
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("a"), F.lead("p_name").over(w).alias("b")).where("b IS NOT NULL")
+    return rows.select("p_partkey", F.levenshtein("a", "b").cast("long").alias("distance"), F.round(text.edit_similarity("a", "b"), 4).alias("similarity"))
+
+
+@query("SELECT p_partkey, round(CASE WHEN a = 0 AND b = 0 THEN 1 ELSE 1 - abs(a - b) / greatest(a, b) END, 4) AS count_similarity, round(CASE WHEN a = 0 AND b = 0 THEN 1 ELSE least(a, b) / greatest(a, b, 1) END, 4) AS ratio_similarity FROM (SELECT p_partkey, (p_size % 7)::DOUBLE AS a, (p_size % 5)::DOUBLE AS b FROM part)")
+def q_count_similarity(spark, sf_dir):
+    a, b = (F.col("p_size") % 7).cast("double"), (F.col("p_size") % 5).cast("double")
+    return read(spark, sf_dir, "part").select("p_partkey", F.round(text.count_similarity(a, b), 4).alias("count_similarity"), F.round(text.ratio_similarity(a, b), 4).alias("ratio_similarity"))
+
+
+_BOXES = "SELECT p_partkey, (p_size % 50)::DOUBLE AS x0, (p_size % 50 + 10 + p_partkey % 90)::DOUBLE AS x1, (p_partkey % 40)::DOUBLE AS y0, (p_partkey % 40 + p_size)::DOUBLE AS y1, (p_size % 45)::DOUBLE AS u0, (p_size % 45 + 12 + p_partkey % 80)::DOUBLE AS u1, (p_partkey % 37)::DOUBLE AS v0, (p_partkey % 37 + p_size)::DOUBLE AS v1 FROM part"
+
+
+@query(f"WITH b AS ({_BOXES}), m AS (SELECT *, x1-x0 AS w1, u1-u0 AS w2, y1-y0 AS h1, v1-v0 AS h2 FROM b), s AS (SELECT p_partkey, 1 - abs(w1*h1 - w2*h2) / greatest(w1*h1, w2*h2) AS area, 1 - abs(w1-w2) / greatest(w1, w2) AS w, 1 - abs(h1-h2) / greatest(h1, h2) AS h, greatest(0, 1 - (abs(x0+x1-u0-u1)/2 + abs(y0+y1-v0-v1)/2) / greatest(x1, u1, y1, v1, 1)) AS near FROM m) SELECT p_partkey, round(0.3*area + 0.2*w + 0.2*h + 0.3*near + 1e-9, 4) AS box_score, round(0.5*(0.3*area + 0.2*w + 0.2*h + 0.3*near) + 0.4*(w + h)/2 + 0.1*CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END + 1e-9, 4) AS image_score FROM s")
+def q_image_similarity(spark, sf_dir):
+    size, key = F.col("p_size"), F.col("p_partkey")
+    box = lambda x, w, y: F.struct(F.lit(1).alias("page_number"), (size % x).cast("double").alias("x0"), (key % y).cast("double").alias("y0"), (size % x + w[0] + key % w[1]).cast("double").alias("x1"), (key % y + size).cast("double").alias("y1"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", box(50, (10, 90), 40).alias("a"), box(45, (12, 80), 37).alias("b"))
+    ext = F.when(F.col("p_partkey") % 3 == 0, "png").otherwise("jpg")
+    image = layout.image_similarity("a", "b", layout.width("a"), layout.width("b"), layout.height("a"), layout.height("b"), ext, F.lit("jpg"))
+    return rows.select("p_partkey", F.round(layout.box_similarity("a", "b") + 1e-9, 4).alias("box_score"), F.round(image + 1e-9, 4).alias("image_score"))
+
+
+_MARKED = "CASE doc_id % 9 WHEN 0 THEN '第 3 页' WHEN 1 THEN '目录 ' || text WHEN 2 THEN '签字：' WHEN 3 THEN 'ab' WHEN 4 THEN '附件 ' || text WHEN 5 THEN substr(text, 1, 140) WHEN 6 THEN 'Page 4' ELSE text END"
+
+
+@query(f"SELECT doc_id, CASE WHEN length(t) <= 30 AND (contains(lower(t), 'page') OR regexp_matches(t, '第\\s*\\d+\\s*页') OR (contains(t,'第') AND contains(t,'页') AND contains(t,'共'))) THEN 'likely_page_number_residue' WHEN contains(t, '目录') OR (n <= 3 AND regexp_matches(t, '目录|合同协议书|监理人|代建人|发包人')) THEN 'likely_toc_or_cover_format_noise' WHEN length(t) <= 80 AND regexp_matches(t, '签字|盖章|日期|年|月|日|法定代表人|授权代表|监理人|代建人') THEN 'likely_short_signature_or_date_page' WHEN length(t) <= 5 THEN 'likely_blank_or_near_blank' WHEN regexp_matches(substr(t,1,160), '附件|承诺书|职责|EHS|诚信') THEN 'likely_attachment_start_page_needs_manual_review' WHEN length(t) <= 150 THEN 'likely_pagination_split_noise' ELSE 'unknown_needs_manual_review' END AS kind FROM (SELECT doc_id, (doc_id % 10)::INT AS n, trim(regexp_replace({_MARKED}, '[\\s\\p{{Z}}]+', ' ', 'g')) AS t FROM documents)")
+def q_page_classifier(spark, sf_dir):
+    n, t = F.col("doc_id") % 9, F.col("text")
+    marked = F.when(n == 0, "第 3 页").when(n == 1, F.concat(F.lit("目录 "), t)).when(n == 2, "签字：").when(n == 3, "ab").when(n == 4, F.concat(F.lit("附件 "), t)).when(n == 5, F.substring(t, 1, 140)).when(n == 6, "Page 4").otherwise(t)
+    rows = read(spark, sf_dir, "documents").select("doc_id", text.collapse_space(marked).alias("t"))
+    return rows.select("doc_id", layout.page_kind("t", F.col("doc_id") % 10, F.col("t") == "").alias("kind"))
+
+
+@query("SELECT doc_id, CASE WHEN length(t) = 0 THEN 'empty_native_text' WHEN length(t) < 20 THEN 'native_text_below_min_length' WHEN doc_id % 3 = 0 THEN 'no_native_text_blocks' ELSE '' END AS reason FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN substr(text, 1, 15) ELSE text END AS r, trim(CASE doc_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN substr(text, 1, 15) ELSE text END) AS t FROM documents)")
+def q_ocr_reason(spark, sf_dir):
+    n = F.col("doc_id") % 4
+    t = F.when(n == 0, "  ").when(n == 1, F.substring("text", 1, 15)).otherwise(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", layout.ocr_reason(t, F.col("doc_id") % 3).alias("reason"))
+
+
+_TABBED = "CASE doc_id % 3 WHEN 0 THEN replace(text, ' ', chr(9)) WHEN 1 THEN replace(text, ' ', '  ') ELSE text END"
+
+
+@query(f"SELECT doc_id, len(list_filter(list_filter(list_transform(string_split({_TABBED}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), lambda x: contains(x, chr(9)) OR len(list_filter(string_split(x, '  '), lambda p: trim(p) <> '')) >= 3)) >= 2 AS table_like FROM documents")
+def q_table_like_blocks(spark, sf_dir):
+    n = F.col("doc_id") % 3
+    t = F.when(n == 0, F.replace("text", F.lit(" "), F.lit("\t"))).when(n == 1, F.replace("text", F.lit(" "), F.lit("  "))).otherwise(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", layout.table_like(t).alias("table_like"))
+
+
+# ---- cells ----------------------------------------------------------------------------------
+
+
+def _cell_diff(spark, sf_dir, with_row_index=True):
+    return cells.compare_cells(b_cells(spark, sf_dir), c_cells(spark, sf_dir), _KEYS, with_row_index=with_row_index)
+
+
+_JOINED = f"{_B_CELLS}, {_C_CELLS}, j AS (SELECT coalesce(b.l_orderkey, c.l_orderkey) AS l_orderkey, coalesce(b.l_linenumber, c.l_linenumber) AS l_linenumber, b.quantity AS bq, c.quantity AS cq, CASE WHEN c.l_orderkey IS NULL THEN 'left_only' WHEN b.l_orderkey IS NULL THEN 'right_only' ELSE 'both' END AS merge_status FROM b_cells b FULL OUTER JOIN c_cells c ON b.l_orderkey = c.l_orderkey AND b.l_linenumber = c.l_linenumber), r AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS row_index FROM j)"
+_DIFF = f"{_JOINED}, d AS (SELECT row_index::BIGINT AS row_index, l_orderkey, l_linenumber, CASE WHEN merge_status = 'both' THEN 'quantity' ELSE '' END AS \"column\", CASE WHEN merge_status = 'both' THEN 'numeric' ELSE 'row_presence' END AS comparison_type, merge_status, CASE WHEN merge_status = 'both' THEN CAST(abs(bq - cq) AS DECIMAL(38,2)) END AS numeric_diff FROM r WHERE merge_status <> 'both' OR abs(bq - cq) > 0.01)"
+
+
+@query(f"WITH {_DIFF} SELECT * FROM d")
+def q_cell_diff(spark, sf_dir):
+    return _cell_diff(spark, sf_dir).select("row_index", *_KEYS, "column", "comparison_type", "merge_status", F.col("numeric_diff").cast("decimal(38,2)").alias("numeric_diff"))
+
+
+@query(f"WITH {_JOINED} SELECT l_orderkey, l_linenumber, merge_status FROM j WHERE merge_status <> 'both'")
+def q_row_presence(spark, sf_dir):
+    joined = cells.join_rows(b_cells(spark, sf_dir), c_cells(spark, sf_dir), _KEYS)
+    return joined.where("merge_status <> 'both'").select(*_KEYS, "merge_status")
+
+
+@query("WITH b AS (SELECT l_orderkey, l_linenumber, l_returnflag AS flag FROM lineitem WHERE l_orderkey % 5 = 0), c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN 'changed' ELSE l_returnflag END AS flag FROM lineitem WHERE l_orderkey % 10 = 0) SELECT merge_status, count(*)::BIGINT AS n_rows, sum(CASE WHEN merge_status = 'both' AND levenshtein(bf, cf) > 1 THEN 1 ELSE 0 END)::BIGINT AS n_changed FROM (SELECT CASE WHEN c.l_orderkey IS NULL THEN 'left_only' WHEN b.l_orderkey IS NULL THEN 'right_only' ELSE 'both' END AS merge_status, b.flag AS bf, c.flag AS cf FROM b FULL OUTER JOIN c ON b.l_orderkey = c.l_orderkey AND b.l_linenumber = c.l_linenumber) GROUP BY merge_status")
+def q_cell_diff_dups(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select(*_KEYS, F.col("l_returnflag").alias("flag"))
+    base, scan = rows.where("l_orderkey % 5 = 0"), rows.where("l_orderkey % 10 = 0").withColumn("flag", F.when(F.col("l_orderkey") % 3 == 0, "changed").otherwise(F.col("flag")))
+    joined = cells.join_rows(base, scan, _KEYS).withColumn("changed", (F.col("merge_status") == "both") & (F.levenshtein("base.flag", "scan.flag") > 1))
+    return joined.groupBy("merge_status").agg(F.count("*").alias("n_rows"), F.count_if("changed").alias("n_changed"))
+
+
+@query("SELECT l_orderkey, l_linenumber, ord, coalesce(last_value(nullif(k, '') IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY ord ROWS UNBOUNDED PRECEDING), '') AS k FROM (SELECT l_orderkey, l_linenumber, ord, CASE WHEN ord % 3 = 1 THEN '' ELSE l_returnflag END AS k FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS ord FROM lineitem))")
+def q_ffill_keys(spark, sf_dir):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.row_number().over(w).alias("ord"))
+    rows = rows.select("l_orderkey", "l_linenumber", "ord", F.when(F.col("ord") % 3 == 1, "").otherwise(F.col("l_returnflag")).alias("k"))
+    return cells.forward_fill(rows, ["k"], ["ord"], ["l_orderkey"], blank_is_null=True)
+
+
+_LONG = "SELECT table_id, row_idx, col_idx, CASE WHEN (row_idx + col_idx) % 3 = 0 THEN NULL ELSE v END AS value FROM (SELECT table_id, row_idx, 0 AS col_idx, a AS v FROM n UNION ALL SELECT table_id, row_idx, 1 AS col_idx, b AS v FROM n)"
+
+
+@query(f"WITH n AS (SELECT c_nationkey AS table_id, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INT AS row_idx, CAST(c_name AS VARCHAR) AS a, CAST(c_mktsegment AS VARCHAR) AS b FROM customer) SELECT table_id, row_idx, col_idx, last_value(value IGNORE NULLS) OVER (PARTITION BY table_id, col_idx ORDER BY row_idx ROWS UNBOUNDED PRECEDING) AS value FROM ({_LONG})")
+def q_expand_merged(spark, sf_dir):
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    rows = read(spark, sf_dir, "customer").withColumn("row_idx", F.row_number().over(w) - 1)
+    rows = rows.select(F.col("c_nationkey").alias("table_id"), "row_idx", F.posexplode(F.array("c_name", "c_mktsegment")).alias("col_idx", "value"))
+    rows = rows.withColumn("value", F.when((F.col("row_idx") + F.col("col_idx")) % 3 != 0, F.col("value")))
+    return cells.expand_merged(rows, "row_idx")
+
+
+@query("SELECT o_orderkey, 'orders.csv' AS _source_file, 2::INT AS _source_page, (o_custkey % 8)::INT AS _source_table, (row_number() OVER (PARTITION BY o_custkey % 8 ORDER BY o_orderkey) - 1)::INT AS _source_row FROM orders")
+def q_source_lineage(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 8).cast("int").alias("part"))
+    return cells.attach_lineage(rows, "orders.csv", 2, F.col("part"), ["o_orderkey"], ["part"]).drop("part")
+
+
+# ---- tables ---------------------------------------------------------------------------------
+
+
+def _segment_cells(spark, sf_dir, renamed: bool):
+    names = [("c_custkey", "id" if renamed else "c_custkey"), ("c_mktsegment", "segment" if renamed else "c_mktsegment"), ("c_name", "c_name")]
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    rows = read(spark, sf_dir, "customer")
+    if renamed:
+        rows = rows.where("c_custkey % 6 <> 1")
+    cols = F.array(*(F.struct(F.lit(new).alias("col_name"), F.col(old).cast("string").alias("value"), F.lit(i).alias("col_idx")) for i, (old, new) in enumerate(names)))
+    rows = rows.withColumn("row_idx", F.row_number().over(w) - 1)
+    return rows.select(F.col("c_nationkey").alias("table_id"), "row_idx", F.inline(cols))
+
+
+def _sql_tables(name, where, cols):
+    first, second = cols
+    return f"{name}_r AS (SELECT c_nationkey AS table_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i, CAST(c_custkey AS VARCHAR) AS a, CAST(c_mktsegment AS VARCHAR) AS b, CAST(c_name AS VARCHAR) AS c FROM customer WHERE {where}), {name} AS (SELECT table_id, count(*) AS n, substr('{first}' || '{second}' || 'c_name' || coalesce(string_agg(regexp_replace(a || b || c, '\\s', '', 'g'), '' ORDER BY i) FILTER (WHERE i < 5), ''), 1, 500) AS sig, list_distinct(list(regexp_replace(c, '\\s', '', 'g'))) AS k FROM {name}_r GROUP BY table_id)"
+
+
+_NAMES = "s1(x, v) AS (SELECT a, max(CASE WHEN a = b THEN 1.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END) FROM (VALUES ('id'), ('segment'), ('c_name')) l(a), (VALUES ('c_custkey'), ('c_mktsegment'), ('c_name')) r(b) GROUP BY a), s2(x, v) AS (SELECT b, max(CASE WHEN a = b THEN 1.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END) FROM (VALUES ('id'), ('segment'), ('c_name')) l(a), (VALUES ('c_custkey'), ('c_mktsegment'), ('c_name')) r(b) GROUP BY b), cs AS (SELECT sum(v) / 6 AS v FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2))"
+
+
+@query(f"WITH {_sql_tables('s', 'c_custkey % 6 <> 1', ('id', 'segment'))}, {_sql_tables('b', 'true', ('c_custkey', 'c_mktsegment'))}, {_NAMES}, p AS (SELECT s.table_id AS scan_table_id, b.table_id AS base_table_id, cs.v AS c, 1 - levenshtein(s.sig, b.sig) / greatest(length(s.sig), length(b.sig)) AS t, (least(s.n, b.n) / greatest(s.n, b.n) + 1) / 2 AS h, len(list_intersect(s.k, b.k)) / (len(s.k) + len(b.k) - len(list_intersect(s.k, b.k))) AS k FROM s, b, cs), r AS (SELECT *, 0.4*c + 0.3*t + 0.2*h + 0.1*k AS raw FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY scan_table_id ORDER BY round(raw, 6) DESC, round(t, 6) DESC, base_table_id) AS rank FROM r) SELECT scan_table_id, base_table_id, rank::BIGINT AS rank, round(raw, 4) AS score, round(t, 4) AS text_score, CASE WHEN raw >= 0.75 THEN 'auto_match' WHEN raw >= 0.45 THEN 'needs_review' ELSE 'no_match' END AS decision FROM o WHERE rank <= 3")
+def q_rank_tables(spark, sf_dir):
+    scan = tables.describe(_segment_cells(spark, sf_dir, True), ["c_name"])
+    base = tables.describe(_segment_cells(spark, sf_dir, False), ["c_name"])
+    ranked = tables.rank(scan, base, ["c_name"], top_k=3)
+    return ranked.select("scan_table_id", "base_table_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"), F.round("text_score", 4).alias("text_score"), "decision")
+
+
+@query("WITH o AS (SELECT o_custkey % 20 AS g, list_distinct(list(CAST(o_orderkey % 50 AS VARCHAR))) AS k FROM orders GROUP BY 1), l AS (SELECT l_suppkey % 20 AS g, list_distinct(list(CAST(l_orderkey % 60 AS VARCHAR))) AS k FROM lineitem GROUP BY 1) SELECT g, round(len(list_intersect(o.k, l.k)) / (len(o.k) + len(l.k) - len(list_intersect(o.k, l.k))), 4) AS overlap FROM o JOIN l USING (g)")
+def q_key_overlap(spark, sf_dir):
+    keys = lambda df, g, k, n: df.groupBy((F.col(g) % 20).alias("g")).agg(F.create_map(F.lit("k"), F.collect_set((F.col(k) % n).cast("string"))).alias(n and f"m{n}"))
+    left = keys(read(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", 50)
+    right = keys(read(spark, sf_dir, "lineitem"), "l_suppkey", "l_orderkey", 60)
+    return left.join(right, "g").select("g", F.round(tables.key_overlap("m50", "m60", ["k"]), 4).alias("overlap"))
+
+
+# ---- evidence -------------------------------------------------------------------------------
+
+
+def _evidence(spark, sf_dir):
+    diffs = cells.cell_differences(_cell_diff(spark, sf_dir), _KEYS)
+    diffs = diffs.withColumns({"candidate_page": (F.col("l_orderkey") % 40).cast("int"), "baseline_page": F.when(F.col("merge_status") != "right_only", (F.col("l_orderkey") % 40).cast("int")), "requires_manual_review": F.col("merge_status") != "both"})
+    return evidence.index(diffs, ["row_index", "column"])
+
+
+_EV = f"{_DIFF}, e AS (SELECT row_number() OVER (ORDER BY row_index, \"column\") AS seq, *, CASE WHEN comparison_type = 'numeric' THEN 'high' ELSE 'medium' END AS severity, (l_orderkey % 40)::INT AS candidate_page, CASE WHEN merge_status <> 'right_only' THEN (l_orderkey % 40)::INT END AS baseline_page, merge_status <> 'both' AS requires_manual_review, 'ev-' || CASE WHEN length(seq::VARCHAR) < 5 THEN lpad(seq::VARCHAR, 5, '0') ELSE seq::VARCHAR END || '-table_cell_modified' AS evidence_id FROM d)"
+
+
+@query(f"WITH {_EV} SELECT evidence_id, seq::BIGINT AS seq, 'table' AS category, severity, 'Table cell differs in ' || CASE WHEN \"column\" = '' THEN 'row' ELSE 'column ' || \"column\" END || ' (' || comparison_type || ') at l_orderkey=' || l_orderkey || ', l_linenumber=' || l_linenumber AS message, candidate_page, baseline_page, requires_manual_review FROM e")
+def q_evidence_index(spark, sf_dir):
+    return _evidence(spark, sf_dir).select("evidence_id", "seq", "category", "severity", "message", "candidate_page", "baseline_page", "requires_manual_review")
+
+
+@query(f"WITH {_EV} SELECT 'total' AS dimension, '' AS value, count(*)::BIGINT AS n FROM e UNION ALL SELECT 'severity', severity, count(*) FROM e GROUP BY severity UNION ALL SELECT 'category', 'table', count(*) FROM e UNION ALL SELECT 'diff_type', 'table_cell_modified', count(*) FROM e UNION ALL SELECT 'requires_manual_review', 'true', count(*) FROM e WHERE requires_manual_review")
+def q_evidence_summary(spark, sf_dir):
+    return evidence.summary(_evidence(spark, sf_dir))
+
+
+@query(f"WITH {_EV} SELECT evidence_id, candidate_page FROM e WHERE severity = 'medium' AND requires_manual_review")
+def q_filter_evidence(spark, sf_dir):
+    return evidence.filtered(_evidence(spark, sf_dir), severity="medium", requires_manual_review=True).select("evidence_id", "candidate_page")
+
+
+@query(f"WITH {_EV} SELECT baseline_page AS page, count(*)::BIGINT AS n, list(evidence_id ORDER BY seq) AS evidence_ids FROM e WHERE baseline_page IS NOT NULL GROUP BY baseline_page")
+def q_group_by_page(spark, sf_dir):
+    return evidence.by_page(_evidence(spark, sf_dir), "baseline")
+
+
+def _boxed(spark, sf_dir):
+    box = F.struct(F.lit(1).alias("page_number"), F.lit(1.0).alias("x0"), F.lit(2.0).alias("y0"), F.lit(3.0).alias("x1"), F.lit(4.0).alias("y1"))
+    rows = _evidence(spark, sf_dir).withColumns({"location": F.when(F.col("seq") % 3 == 0, box), "baseline_bbox": F.when(F.col("seq") % 2 == 0, box)})
+    return evidence.annotate(rows)
+
+
+@query(f"WITH {_EV} SELECT evidence_id, CASE WHEN seq % 3 = 0 OR seq % 2 = 0 THEN 'table_block' ELSE 'page_level' END AS annotation_type, '未知证据' AS annotation_label, 'pending' AS review_status, CASE WHEN seq % 3 = 0 THEN 'candidate_bbox' WHEN seq % 2 = 0 THEN 'baseline_bbox' END AS selected_bbox_source FROM e")
+def q_annotations(spark, sf_dir):
+    return _boxed(spark, sf_dir).select("evidence_id", "annotation_type", "annotation_label", "review_status", "selected_bbox_source")
+
+
+@query(f"WITH {_EV} SELECT evidence_id, 'candidate' AS source_side, 1::INT AS page_number, 'ready' AS render_status FROM e WHERE seq % 3 = 0 UNION ALL SELECT evidence_id, 'baseline', 1, 'ready' FROM e WHERE seq % 2 = 0 UNION ALL SELECT evidence_id, NULL, NULL, 'skipped_no_bbox' FROM e WHERE seq % 3 <> 0 AND seq % 2 <> 0")
+def q_side_jobs(spark, sf_dir):
+    return evidence.side_jobs(_boxed(spark, sf_dir)).select("evidence_id", "source_side", "page_number", "render_status")
+
+
+@query(f"WITH {_EV} SELECT evidence_id, seq::BIGINT AS seq FROM e ORDER BY seq LIMIT 20")
+def q_topk_preview(spark, sf_dir):
+    return _evidence(spark, sf_dir).select("evidence_id", "seq").orderBy("seq").limit(20)
+
+
+@query("WITH a AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), t AS (SELECT v FROM a WHERE vec_id = 0), c AS (SELECT vec_id, list_avg(a.v) AS m1, list_avg(t.v) AS m2, a.v AS v, t.v AS u FROM a, t) SELECT vec_id, round(list_dot_product(list_transform(v, lambda x: x - m1), list_transform(u, lambda x: x - m2)) / sqrt(list_dot_product(list_transform(v, lambda x: x - m1), list_transform(v, lambda x: x - m1)) * list_dot_product(list_transform(u, lambda x: x - m2), list_transform(u, lambda x: x - m2))), 4) AS score FROM c ORDER BY score DESC, vec_id LIMIT 10")
+def q_page_locator(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("thumb"))
+    target = rows.where("vec_id = 0").select(F.col("thumb").alias("target"))
+    return images.locate(rows, target, "vec_id", top_k=10).select("vec_id", F.round("score", 4).alias("score"))
+
+
+# ---- sources --------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k, len(json_keys(props))::BIGINT AS n_keys FROM events")
+def q_json_props(spark, sf_dir):
+    v = F.try_parse_json("props")
+    return read(spark, sf_dir, "events").select("event_id", F.try_variant_get(v, "$.k", "int").alias("k"), F.size(F.json_object_keys("props")).cast("long").alias("n_keys"))
+
+
+@query("SELECT page_id, (len(regexp_extract_all(html, '<h1[ >]')))::BIGINT AS titles, len(regexp_extract_all(html, '<(p|li)[ >]'))::BIGINT AS paragraphs, len(regexp_extract_all(html, '<footer[ >]'))::BIGINT AS footers, len(regexp_extract_all(html, '<nav[ >]'))::BIGINT AS headers FROM pages")
+def q_html_elements(spark, sf_dir):
+    rows = html.elements(read(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    count = lambda t: F.coalesce(F.count_if(F.col("element_type") == t), F.lit(0))
+    got = rows.groupBy("page_id").agg(count("title").alias("titles"), count("paragraph").alias("paragraphs"), count("footer").alias("footers"), count("header").alias("headers"))
+    ids = read(spark, sf_dir, "pages").select("page_id")
+    return ids.join(got, "page_id", "left").na.fill(0)
+
+
+@query("SELECT r_regionkey, row, col, rowspan, colspan, text FROM region, (VALUES (0, 0, 2, 1, 'A'), (0, 1, 1, 1, 'B'), (1, 1, 1, 2, 'C')) v(row, col, rowspan, colspan, text)")
+def q_html_spans(spark, sf_dir):
+    table = F.lit("<table><tr><td rowspan=2>A</td><th>B</th></tr><tr><td colspan='2'> C </td></tr></table>")
+    rows = read(spark, sf_dir, "region").select("r_regionkey", html.spans(table).alias("s"))
+    return rows.select("r_regionkey", F.inline("s")).select("r_regionkey", "row", "col", "rowspan", "colspan", "text")
+
+
+@query("SELECT n_nationkey, t.label AS block_type, t.kind AS element_type, n_name AS text, (10 + n_nationkey)::DOUBLE AS x0 FROM nation, (VALUES ('Text', 'paragraph'), ('figure', 'image'), ('seal', 'signature'), ('odd', 'unknown')) t(label, kind)")
+def q_ocr_blocks(spark, sf_dir):
+    rows = read(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.array(*map(F.lit, ("Text", "figure", "seal", "odd")))).alias("label"), "n_name")
+    rows = rows.withColumn("block", F.to_json(F.struct(F.col("label").alias("type"), F.struct(F.col("n_name").alias("text"), F.array(10 + F.col("n_nationkey"), F.lit(2), F.lit(30), F.lit(4)).alias("bbox")).alias("res"))))
+    found = rows.select("n_nationkey", "label", ocr.block(F.col("block")).alias("b"))
+    return found.select("n_nationkey", F.col("label").alias("block_type"), "b.element_type", "b.text", "b.bbox.x0")
+
+
+# ---- alignment and content ------------------------------------------------------------------
+
+
+def _comparison(spark, sf_dir):
+    side = lambda df: df.select(F.col("source").alias("pair_id"), "page_number", "text")
+    return compare.DocumentComparison(*compare.from_texts(side(c_pages(spark, sf_dir)), side(b_pages(spark, sf_dir))))
+
+
+@query(f"WITH {_B_PAGES}, {_C_PAGES} SELECT source AS pair_id, c.page_number - 1 AS candidate_index, b.page_number - 1 AS baseline_index FROM c_pages c JOIN b_pages b USING (source) WHERE sha256(trim(regexp_replace(c.text, '[\\s\\p{{Z}}]+', ' ', 'g'))) = sha256(trim(regexp_replace(b.text, '[\\s\\p{{Z}}]+', ' ', 'g')))")
+def q_align_exact(spark, sf_dir):
+    return align.align_exact(_comparison(spark, sf_dir).prints).select("pair_id", "candidate_index", "baseline_index")
+
+
+@query()
+def q_align_pages(spark, sf_dir):
+    return _comparison(spark, sf_dir).alignments
+
+
+@query()
+def q_page_text_diff(spark, sf_dir):
+    pairs = c_pages(spark, sf_dir).withColumnRenamed("text", "c").join(b_pages(spark, sf_dir).select("doc_id", F.col("text").alias("b")), "doc_id").where("c <> b")
+    return pairs.select("doc_id", text.sequence_ratio(text.collapse_space("c"), text.collapse_space("b")).alias("score")).where("score < 0.98")
+
+
+@query()
+def q_match_elements(spark, sf_dir):
+    c = _comparison(spark, sf_dir)
+    return elements.element_differences(elements.pair_pages(c.alignments, c.prints), c.elements)
+
+
+@query()
+def q_classify_unmatched(spark, sf_dir):
+    c = _comparison(spark, sf_dir)
+    return elements.classify_unmatched(elements.pair_pages(c.alignments, c.prints))
+
+
+@query(f"WITH {_B_PAGES}, {_C_PAGES} SELECT source, c.page_number, len(list_filter(string_split(c.text, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS candidate_count, len(list_filter(string_split(b.text, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS baseline_count FROM c_pages c JOIN b_pages b USING (source, page_number) WHERE candidate_count <> baseline_count")
+def q_element_counts(spark, sf_dir):
+    prints = _comparison(spark, sf_dir).prints
+    n = F.coalesce(F.try_element_at("type_counts", F.lit("paragraph")), F.lit(0)).cast("long")
+    side = lambda s: prints.where(F.col("side") == s).select(F.col("pair_id").alias("source"), "page_number", n.alias(f"{s}_count"))
+    return side("candidate").join(side("baseline"), ["source", "page_number"]).where("candidate_count <> baseline_count")
+
+
+@query()
+def q_full_pipeline(spark, sf_dir):
+    return _comparison(spark, sf_dir).evidence()
