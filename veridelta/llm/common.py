@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -37,18 +38,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, base: str, name: str) -> DataFrame:
-    """Write df below base and read it back: cuts lineage, survives lost executors.
-
-    The shuffle files behind df are released once nothing refers to them; the JVM is asked to look.
-    """
+    """Write df below base and read it back: cuts lineage, survives lost executors. Pass df without
+    keeping it, and its shuffle files go as soon as it is written (see release)."""
     spark = df.sparkSession
     path, schema = f"{base}/{name}", df.schema
     df.write.mode("overwrite").parquet(path)
     del df
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more. It finds them
+    when the JVM collects garbage, which on a quiet driver may be much later than the disk is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(spark: SparkSession, base: str, *names: str) -> None:
+    """Delete what stored() wrote."""
+    jvm = spark.sparkContext._jvm
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_mod(column: str, mod: int):
     """crc32 of the id as text, modulo mod; null ids count as remainder 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % mod, F.lit(0))

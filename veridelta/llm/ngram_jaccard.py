@@ -18,8 +18,8 @@ documents) last, so a passage that many documents share is posted by few of them
 shingles sent to the tasks holds at most ``max_heavy`` entries; it only orders, and any order is right.
 
 Links are verified on whole sets, in rounds: first each class against one central class of its lists,
-then what isn't connected yet against the largest component there, then every remaining pair of
-different components. Pairs inside a component aren't formed. So a group of copies costs work in
+then, twice, what isn't connected yet against the largest component there, then every remaining pair
+of different components that can link. Pairs inside a component aren't formed. So a group of copies costs work in
 proportion to its size, and no pair that could join two components is left out. Members meet their
 centre in salted streams sorted with the centre first: nothing gathers a group in memory.
 
@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridelta.llm.common import WordHashes, map_arrow, mixed, pa_schema, rolling, shared_dir, stored, words_of
+from veridelta.llm.common import WordHashes, discard, mixed, pa_schema, rolling, shared_dir, stored, words_of
 
 _hashes: list[WordHashes] = []
 
@@ -82,44 +82,46 @@ def boundary(percent: int, subset_cost: float) -> int:
     return n
 
 
-def _sketch(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, did: set size and class of every document."""
-
-    def run(batch):
-        sets = [shingles(x.as_py(), width) for x in batch.column("text")]
-        return {"doc_id": batch.column("doc_id"), "n": [len(s) for s in sets], "did": [digest(s) if len(s) else None for s in sets]}
-
-    return map_arrow(docs.select("doc_id", "text"), "doc_id long, n long, did long", run)
-
-
-def _heavy(docs: DataFrame, width: int, least: int, max_heavy: int, flush: int = 3_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that repeat within tasks, and how often in all: sorted hashes and their counts."""
-    target = pa_schema("h long, c long")
+def _survey(docs: DataFrame, width: int, flush: int = 3_000_000) -> DataFrame:
+    """One reading of all texts. Rows with h null: doc_id, n, did, the set size and class of every
+    document. Rows with h: a shingle that three or more different texts of one task's share hold,
+    and in how many (c)."""
+    schema = "doc_id long, n long, did long, h long, c long"
+    target = pa_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size, seen = [], 0, set()
 
-        def out():
+        def shared():
             h, c = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
             h, c = h[c > 2], c[c > 2]
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], schema=target)
+            none = pa.nulls(len(h), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], schema=target)
 
         for batch in batches:
+            ns, dids = [], []
             for text in batch.column("text"):
                 s = shingles(text.as_py(), width)
-                key = digest(s) if len(s) else None
-                if key is None or key in seen:
-                    continue
-                if len(seen) < 200_000:
-                    seen.add(key)
-                parts.append(s)
-                size += len(s)
+                ns.append(len(s))
+                dids.append(digest(s) if len(s) else None)
+                if len(s) and dids[-1] not in seen:
+                    if len(seen) < 200_000:
+                        seen.add(dids[-1])
+                    parts.append(s)
+                    size += len(s)
+            none = pa.nulls(len(ns), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(dids, pa.int64()), none, none], schema=target)
             if size >= flush:
-                yield out()
+                yield shared()
                 parts, size = [], 0
-        yield out()
+        yield shared()
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
 
-    rows = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+def _heavy(survey: DataFrame, least: int, max_heavy: int) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles, at most max_heavy: sorted hashes and their counts."""
+    rows = survey.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
     found = rows.orderBy(F.desc("c"), "h").limit(max_heavy).toArrow()
     h, c = np.asarray(found.column("h")).astype(np.int64).view(np.uint64), np.asarray(found.column("c")).astype(np.int64)
     order = np.argsort(h)
@@ -239,55 +241,42 @@ def components(edges: DataFrame, base: str, name: str) -> DataFrame:
         low2 = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
         star = large.join(low2, large["a"] == low2["k"])
         small = star.select("b", "m").where("b <> m").union(star.select("a", "m")).toDF("a", "b").distinct()
+        del both, low, large, low2, star
         small = stored(small, base, f"{name}-{turn}")
         same = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect() == small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()
+        discard(spark, base, f"{name}-{turn - 1}")
         edges = small
         if same:
             break
     return edges.select(F.col("a").alias("did"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
-def link(docs: DataFrame, width: int = 5, percent: int = 75, subset_cost: float = 4.0, least_heavy: int = 24, max_heavy: int = 1_000_000) -> DataFrame:
+def link(docs: DataFrame, width: int = 5, percent: int = 75, subset_cost: float = 4.0, least_heavy: int = 24, max_heavy: int = 1_000_000, stars: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     spark = docs.sparkSession
     base = shared_dir(spark)
     docs = docs.select("doc_id", "text")
-    sketch = stored(_sketch(docs, width), base, "sketch")
+    survey = stored(_survey(docs, width), base, "survey")
+    sketch = survey.where("h is null").select("doc_id", "n", "did")
     reps = sketch.where("did is not null and doc_id is not null").groupBy("did").agg(F.min("doc_id").alias("doc_id"))
     small = boundary(percent, subset_cost)
-    posted = _postings(docs.where("doc_id is not null"), width, percent, small, _heavy(docs, width, least_heavy, max_heavy))
-    each = Window.partitionBy("h")
-    # The centre of a list: the class whose rarest common shingle comes earliest, so that most of it is heavy.
-    centre = F.min(F.struct((F.col("pos") / F.col("n")).alias("at"), F.col("did"), F.col("n"), F.col("pos"))).over(each)
-    lists = posted.withColumns({"lo": F.min("did").over(each), "hi": F.max("did").over(each), "c": centre}).where("lo <> hi")
-    lists = lists.select("h", "did", "n", "pos", F.col("c.did").alias("did2"), F.col("c.n").alias("n2"), F.col("c.pos").alias("pos2"))
-    lists = stored(lists.distinct(), base, "lists")
-    labels, edges = None, None
-    for turn in range(3):
-        if turn == 0:
-            near = lists.where("did <> did2").where(_can_link(percent))
-        else:
-            entries = lists.select("h", "did", "n", "pos").join(labels, "did", "left").withColumn("root", F.coalesce("root", "did"))
-            mixed_lists = entries.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("h")
-            entries = stored(entries.join(mixed_lists, "h"), base, f"entries-{turn}")
-            top = entries.groupBy("h", "root").agg(F.count("*").alias("m"), F.min(F.struct((F.col("pos") / F.col("n")).alias("at"), "did", "n", "pos")).alias("c"))
-            top = top.groupBy("h").agg(F.max_by(F.struct("root", "c"), F.struct("m", "root")).alias("t"))
-            minor = entries.join(top, "h").where(F.col("root") != F.col("t.root"))
-            if turn == 1:
-                near = minor.select("h", "did", "n", "pos", F.col("t.c.did").alias("did2"), F.col("t.c.n").alias("n2"), F.col("t.c.pos").alias("pos2")).where(_can_link(percent))
-            else:
-                others = entries.select("h", F.col("did").alias("did2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"))
-                near = minor.select("h", "did", "n", "pos", "root").join(others, "h").where(F.col("root") != F.col("root2")).where(_can_link(percent))
-        if turn < 2:  # one centre for each class: the one it shares most lists with
-            counted = near.groupBy("did", "did2").agg(F.count("*").alias("m"))
-            pairs = counted.groupBy("did").agg(F.max_by("did2", F.struct("m", "did2")).alias("b")).select(F.col("did").alias("a"), "b")
-        else:
-            pairs = near.select(F.least("did", "did2").alias("a"), F.greatest("did", "did2").alias("b")).distinct()
-        pairs = stored(pairs, base, f"pairs-{turn}")
-        found = stored(_verify(pairs, reps, docs, width, percent), base, f"links-{turn}")
-        edges = found if edges is None else edges.union(found)
-        labels = stored(components(edges, base, f"components-{turn}"), base, f"labels-{turn}")
-    roots = reps.join(labels, "did", "left").withColumn("root", F.coalesce("root", "did"))
+    lists = stored(_lists(_postings(docs.where("doc_id is not null"), width, percent, small, _heavy(survey, least_heavy, max_heavy))), base, "lists")
+    labels, edges, turn, left = None, None, 0, stars
+    while True:
+        entries = lists if labels is None else stored(_open_lists(lists, labels), base, f"entries-{turn}")
+        star = left > 0
+        pairs = stored((_stars if star else _all_pairs)(entries, percent), base, f"pairs-{turn}")
+        found = None if pairs.isEmpty() else stored(_verify(pairs, reps, docs, width, percent), base, f"links-{turn}")
+        discard(spark, base, f"entries-{turn}")
+        if found is not None and not found.isEmpty():
+            edges = found if edges is None else edges.union(found)
+            labels = components(edges, base, f"labels-{turn}")
+        elif star:
+            left = 1  # stars find nothing more: only the exact round is left
+        if not star:
+            break
+        turn, left = turn + 1, left - 1
+    roots = reps.withColumn("root", F.col("did")) if labels is None else reps.join(labels, "did", "left").withColumn("root", F.coalesce("root", "did"))
     smallest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = roots.join(smallest, "root").select("did", "component_id")
     out = sketch.join(classes, "did", "left")
@@ -295,6 +284,62 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75, subset_cost: float
     return out.select("doc_id", F.col("n").alias("n_shingles"), whole.alias("component_id"))
 
 
+def _lists(posted: DataFrame) -> DataFrame:
+    """The inverted lists of two classes or more: h, did, n, pos, root (of no component yet)."""
+    each = Window.partitionBy("h")
+    lists = posted.withColumns({"lo": F.min("did").over(each), "hi": F.max("did").over(each)}).where("lo <> hi")
+    return lists.select("h", "did", "n", "pos", F.col("did").alias("root")).distinct()
+
+
+def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries of the lists that still hold two components or more."""
+    entries = lists.drop("root").join(labels, "did", "left").withColumn("root", F.coalesce("root", "did"))
+    each = Window.partitionBy("h")
+    entries = entries.withColumns({"lo": F.min("root").over(each), "hi": F.max("root").over(each)}).where("lo <> hi")
+    return entries.select("h", "did", "n", "pos", "root")
+
+
+def _posted(n, percent: int):
+    return n - F.ceil(n * percent / 100) + 1
+
+
+def _stars(entries: DataFrame, percent: int) -> DataFrame:
+    """For each class one central class, of another component, to be verified against. The centre of
+    a list is, in its largest component, the class whose entry comes earliest: most of its set is heavy."""
+    place = (F.col("pos") / F.col("n")).alias("at")
+    top = entries.groupBy("h", "root").agg(F.count("*").alias("m"), F.min(F.struct(place, "did", "n", "pos")).alias("c"))
+    top = top.groupBy("h").agg(F.max_by(F.struct("root", "c"), F.struct("m", "root")).alias("t"))
+    near = entries.join(top, "h").where(F.col("root") != F.col("t.root"))
+    near = near.select("did", "n", "pos", F.col("t.c.did").alias("did2"), F.col("t.c.n").alias("n2"), F.col("t.c.pos").alias("pos2")).where(_can_link(percent))
+    counted = near.groupBy("did", "did2").agg(F.count("*").alias("m"), F.max("n").alias("n"), F.min("pos").alias("pos"))
+    # Likely ones only: the rest is left to the last round, which is exact.
+    counted = counted.where((F.col("pos") < 0) | (5 * F.col("m") >= _posted(F.col("n"), percent)))
+    return counted.groupBy("did").agg(F.max_by("did2", F.struct("m", "did2")).alias("b")).select(F.col("did").alias("a"), "b")
+
+
+def _all_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Every pair of classes in different components that can link.
+
+    Pairs form between the classes outside a list's largest component and all others there. What two
+    posted prefixes share is counted exactly; past the end of the prefix that ends first, at most the
+    rest of that set can be shared: pairs whose count can't make up the overlap go."""
+    top = entries.groupBy("h", "root").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("root", F.struct("m", "root")).alias("top"))
+    entries = entries.join(top, "h")
+    minor = entries.where("root <> top")
+    others = entries.select("h", F.col("did").alias("did2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"))
+    near = minor.join(others, "h").where(F.col("root") != F.col("root2"))
+    near = near.where((100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & ((F.col("pos") < 0) == (F.col("pos2") < 0)))
+    # Two minor classes meet twice, once from either side: half a count each time.
+    weight = F.when(F.col("root2") == F.col("top"), 2).otherwise(1)
+    swap = F.col("did") > F.col("did2")
+    first = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    near = near.select(first("did", "did2").alias("a"), first("did2", "did").alias("b"), first("n", "n2").alias("n"), first("n2", "n").alias("n2"), weight.alias("w"), "pos", "pos2")
+    some = near.groupBy("a", "b", "n", "n2").agg(F.sum(F.when(F.col("pos") >= 0, F.col("w")).otherwise(0)).alias("w"), F.min("pos").alias("pos"), F.max(_can_link(percent)).alias("can"))
+    rest = F.greatest(F.col("n") - _posted(F.col("n"), percent), F.col("n2") - _posted(F.col("n2"), percent))
+    enough = (100 + percent) * (F.col("w") / 2 + rest) >= percent * (F.col("n") + F.col("n2"))
+    return some.where((F.col("pos") < 0) | (F.col("can") & enough)).select("a", "b")
+
+
 def keep_one(docs: DataFrame, columns: list[str], **options) -> DataFrame:
     """The given columns of one document of each component: that of the smallest doc_id."""
     linked = link(docs, **options)
