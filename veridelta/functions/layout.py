@@ -111,16 +111,16 @@ def image_similarity(box_a, box_b, width_a, width_b, height_a, height_b, ext_a,
 
 def table_like(text: Column | str) -> Column:
     """At least two lines that hold a tab or three parts between double blanks."""
-    lines = F.filter(F.transform(F.split(_col(text), r"\r\n|\n|\r"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(_col(text), r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
     parts = lambda x: F.size(F.filter(F.split(x, "  "), lambda p: F.trim(p) != ""))
     return F.size(F.filter(lines, lambda x: F.contains(x, F.lit("\t")) | (parts(x) >= 3))) >= 2
 
 
 def table_rows(text: Column | str) -> Column:
     """Rows of cells of a table-like text."""
-    lines = F.filter(F.transform(F.split(_col(text), r"\r\n|\n|\r"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(_col(text), r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
     cells = lambda x: F.when(F.contains(x, F.lit("\t")), F.split(x, "\t")).otherwise(F.filter(F.split(x, r"\s{2,}"), lambda p: F.trim(p) != ""))
-    return F.transform(lines, lambda x: F.transform(cells(x), F.trim))
+    return F.transform(lines, lambda x: F.transform(cells(x), lambda x: F.trim(x)))
 
 
 def normalized_cells(cells: Column | str) -> Column:

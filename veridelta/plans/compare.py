@@ -46,7 +46,7 @@ def from_texts(candidate: DataFrame, baseline: DataFrame) -> tuple[DataFrame, Da
     both = candidate.select(F.lit("candidate").alias("side"), "pair_id", "page_number", "text").unionByName(baseline.select(F.lit("baseline").alias("side"), "pair_id", "page_number", "text"))
     both = both.withColumn("page_index", (F.col("page_number") - 1).cast("int"))
     pages = both.select("pair_id", "side", "page_index", "page_number", F.col("text").alias("plain_text"))
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = both.select("pair_id", "side", "page_index", "page_number", F.posexplode(lines).alias("element_ordinal", "text"))
     name = F.format_string("p%d-line-%d", "page_number", "element_ordinal")
     return pages, rows.select("pair_id", "side", "page_index", "element_ordinal", name.alias("element_id"), F.lit("paragraph").alias("element_type"), "text")

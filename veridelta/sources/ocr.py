@@ -37,7 +37,7 @@ def block(json: Column | str) -> Column:
 def blocks(pages: DataFrame, id_cols: Sequence[str], json: str) -> DataFrame:
     """One element for each entry of a JSON array of blocks."""
     parts = F.try_variant_get(F.try_parse_json(json), "$", "array<variant>")
-    rows = pages.select(*id_cols, F.posexplode(F.transform(parts, F.to_json)).alias("element_ordinal", "j"))
+    rows = pages.select(*id_cols, F.posexplode(F.transform(parts, lambda x: F.to_json(x))).alias("element_ordinal", "j"))
     return rows.select(*id_cols, "element_ordinal", block("j").alias("b")).select(*id_cols, "element_ordinal", "b.*")
 
 
