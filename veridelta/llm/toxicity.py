@@ -148,7 +148,7 @@ def build(rows: list[tuple[int, str, int]], rate: float, k: int = 15, min_df: fl
     n, pos = len(rows), int(label.sum())
     usual = {t: d for t, d in df.items() if max(3, min_df * n) <= d <= max(3, max_df * n)}
     # The normal quantile of alpha / terms, squared, is the chi-squared limit (1 degree of freedom).
-    z = math.sqrt(2 * math.log(max(2, len(usual)) / alpha))
+    z = math.sqrt(2 * math.log(max(1.0, len(usual) / alpha)))
 
     def chi2(t: str) -> float:
         a, d = hits[t], usual[t]
