@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from veridelta import cli
 from veridelta.functions import layout, text
-from veridelta.operators import align, cells, elements, evidence, images, tables
+from veridelta.operators import align, cells, elements, evidence, images, page_tables, tables
 from veridelta.plans import compare, report
 from veridelta.sources import files, html, ocr
 
@@ -227,6 +227,22 @@ def test_entry_without_optional_part(tmp_path):
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
 
 
+def test_page_tables(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "d.docx").write_bytes(docx(["x"], [["id", "price", "name"], ["1", "2.00", "ann"], ["2", "3.00", "bob"], ["3", "1", "eve"]]))
+    (tmp_path / "c" / "d.docx").write_bytes(docx(["x"], [["id", "price", "name"], ["1", "2.50", "ann"], ["2", "3.01", "robert"], ["4", "1", "eve"]]))
+    side = lambda s: files.table_cells(files.read_documents(spark, str(tmp_path / s[0]))).select(F.lit("p").alias("pair_id"), F.lit(s).alias("side"), "page_index", "table_id", "row_idx", "col_idx", "col_name", "value")
+    cells_ = side("candidate").unionByName(side("baseline"))
+    pages = spark.createDataFrame([("p", 0, 0, 0, "matched")], "pair_id string, alignment_seq int, candidate_index int, baseline_index int, status string")
+    got = page_tables.compare_tables(pages, cells_, key_columns=["id"]).collect()
+    assert sorted((r.severity, r.message.split(" at ")[0]) for r in got) == [("high", "Table cell differs (numeric) in price"), ("medium", "Table cell differs (row_presence) in row"), ("medium", "Table cell differs (row_presence) in row"), ("medium", "Table cell differs (text) in name")]
+    assert [r.severity for r in page_tables.compare_tables(pages, cells_).collect()] == ["low"]
+    assert [r.diff_type for r in page_tables.compare_tables(pages, cells_.where("side = 'baseline'"), key_columns=["id"]).collect()] == ["table_deleted"]
+    none = spark.createDataFrame([], "pair_id string, alignment_seq int")
+    assert page_tables.compare_tables(pages, cells_, none, ["id"]).count() == 0
+
+
 def plain(value):
     if isinstance(value, float):
         return f"{value:.8g}"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridelta.functions import layout, text
-from veridelta.operators import align, cells, elements, evidence, images, tables
+from veridelta.operators import align, cells, elements, evidence, images, page_tables, tables
 from veridelta.plans import compare
 from veridelta.sources import html, ocr
 
@@ -403,3 +403,14 @@ def q_element_counts(spark, sf_dir):
 @query()
 def q_full_pipeline(spark, sf_dir):
     return _comparison(spark, sf_dir).evidence()
+
+
+@query()
+def q_page_tables(spark, sf_dir):
+    """Tables of customers by nation, as pages: base against a candidate with rows and cells changed."""
+    rows = _segment_cells(spark, sf_dir, False).withColumns({"pair_id": F.lit("p"), "page_index": F.col("table_id")})
+    edited = F.when((F.col("col_name") == "c_mktsegment") & (F.col("row_idx") % 17 == 3), "EDITED").otherwise(F.col("value"))
+    scan = rows.where("table_id <> 3 and row_idx % 29 <> 5").withColumn("value", edited)
+    both = rows.where("table_id <> 4").withColumn("side", F.lit("baseline")).unionByName(scan.withColumn("side", F.lit("candidate")))
+    pages = spark.range(25).select(F.lit("p").alias("pair_id"), F.col("id").cast("int").alias("alignment_seq"), F.col("id").cast("int").alias("candidate_index"), F.col("id").cast("int").alias("baseline_index"), F.lit("matched").alias("status"))
+    return page_tables.compare_tables(pages, both, key_columns=["c_custkey"])

@@ -101,3 +101,12 @@ def document_text(parsed: DataFrame) -> DataFrame:
     """file_path, text: the texts of all pages in order, joined by line ends and stripped."""
     pages = F.transform(F.array_sort("pages"), lambda p: p["plain_text"])
     return parsed.select("file_path", F.trim(F.array_join(pages, "\n")).alias("text"))
+
+
+def table_cells(parsed: DataFrame) -> DataFrame:
+    """Long cells of the tables in parsed files: file_path, page_index, table_id, row_idx, col_idx,
+    col_name, value. The first row names the columns; tables of one row have no cells."""
+    tables_ = parsed.select("file_path", F.inline("elements")).where("element_type = 'table' and size(cells) > 1")
+    rows = tables_.select("file_path", "page_index", F.col("element_id").alias("table_id"), F.get("cells", F.lit(0)).alias("head"), F.posexplode(F.slice("cells", 2, 1_000_000_000)).alias("row_idx", "row"))
+    cells = rows.select("file_path", "page_index", "table_id", "row_idx", "head", F.posexplode("row").alias("col_idx", "value"))
+    return cells.select("file_path", "page_index", "table_id", "row_idx", "col_idx", F.trim(F.coalesce(F.get("head", "col_idx"), F.lit(""))).alias("col_name"), F.trim("value").alias("value"))
