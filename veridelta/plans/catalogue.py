@@ -247,12 +247,12 @@ def _sql_tables(name, where, cols):
 _NAMES = "s1(x, v) AS (SELECT a, max(CASE WHEN a = b THEN 1.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END) FROM (VALUES ('id'), ('segment'), ('c_name')) l(a), (VALUES ('c_custkey'), ('c_mktsegment'), ('c_name')) r(b) GROUP BY a), s2(x, v) AS (SELECT b, max(CASE WHEN a = b THEN 1.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END) FROM (VALUES ('id'), ('segment'), ('c_name')) l(a), (VALUES ('c_custkey'), ('c_mktsegment'), ('c_name')) r(b) GROUP BY b), cs AS (SELECT sum(v) / 6 AS v FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2))"
 
 
-@query(f"WITH {_sql_tables('s', 'c_custkey % 6 <> 1', ('id', 'segment'))}, {_sql_tables('b', 'true', ('c_custkey', 'c_mktsegment'))}, {_NAMES}, p AS (SELECT s.table_id AS scan_table_id, b.table_id AS base_table_id, cs.v AS c, 1 - levenshtein(s.sig, b.sig) / greatest(length(s.sig), length(b.sig)) AS t, (least(s.n, b.n) / greatest(s.n, b.n) + 1) / 2 AS h, len(list_intersect(s.k, b.k)) / (len(s.k) + len(b.k) - len(list_intersect(s.k, b.k))) AS k FROM s, b, cs), r AS (SELECT *, 0.4*c + 0.3*t + 0.2*h + 0.1*k AS raw FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY scan_table_id ORDER BY round(raw, 6) DESC, round(t, 6) DESC, base_table_id) AS rank FROM r) SELECT scan_table_id, base_table_id, rank::BIGINT AS rank, round(raw, 4) AS score, round(t, 4) AS text_score, CASE WHEN raw >= 0.75 THEN 'auto_match' WHEN raw >= 0.45 THEN 'needs_review' ELSE 'no_match' END AS decision FROM o WHERE rank <= 3")
+@query(f"WITH {_sql_tables('s', 'c_custkey % 6 <> 1', ('id', 'segment'))}, {_sql_tables('b', 'true', ('c_custkey', 'c_mktsegment'))}, {_NAMES}, p AS (SELECT s.table_id AS scan_table_id, b.table_id AS base_table_id, cs.v AS c, 1 - levenshtein(s.sig, b.sig) / greatest(length(s.sig), length(b.sig)) AS t, (least(s.n, b.n) / greatest(s.n, b.n) + 1) / 2 AS h, len(list_intersect(s.k, b.k)) / (len(s.k) + len(b.k) - len(list_intersect(s.k, b.k))) AS k FROM s, b, cs), r AS (SELECT *, 0.4*c + 0.3*t + 0.2*h + 0.1*k AS raw FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY scan_table_id ORDER BY round(raw, 6) DESC, round(t, 6) DESC, base_table_id) AS rank FROM r) SELECT scan_table_id, base_table_id, rank::BIGINT AS rank, round(round(raw, 6) + 1e-9, 4) AS score, round(round(t, 6) + 1e-9, 4) AS text_score, CASE WHEN raw >= 0.75 THEN 'auto_match' WHEN raw >= 0.45 THEN 'needs_review' ELSE 'no_match' END AS decision FROM o WHERE rank <= 3")
 def q_rank_tables(spark, sf_dir):
     scan = tables.describe(_segment_cells(spark, sf_dir, True), ["c_name"])
     base = tables.describe(_segment_cells(spark, sf_dir, False), ["c_name"])
     ranked = tables.rank(scan, base, ["c_name"], top_k=3)
-    return ranked.select("scan_table_id", "base_table_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"), F.round("text_score", 4).alias("text_score"), "decision")
+    return ranked.select("scan_table_id", "base_table_id", F.col("rank").cast("long").alias("rank"), F.round(F.col("score") + 1e-9, 4).alias("score"), F.round(F.col("text_score") + 1e-9, 4).alias("text_score"), "decision")
 
 
 @query("WITH o AS (SELECT o_custkey % 20 AS g, list_distinct(list(CAST(o_orderkey % 50 AS VARCHAR))) AS k FROM orders GROUP BY 1), l AS (SELECT l_suppkey % 20 AS g, list_distinct(list(CAST(l_orderkey % 60 AS VARCHAR))) AS k FROM lineitem GROUP BY 1) SELECT g, round(len(list_intersect(o.k, l.k)) / (len(o.k) + len(l.k) - len(list_intersect(o.k, l.k))), 4) AS overlap FROM o JOIN l USING (g)")
