@@ -133,7 +133,7 @@ def _once(rows: list[tuple[int, str, int]], rare: float = 0.01) -> list[tuple[in
     return out
 
 
-def build(rows: list[tuple[int, str, int]], rate: float, k: int = 15, min_df: float = 0.004, max_df: float = 0.25, alpha: float = 1e-3, block: int = 64) -> Index | None:
+def build(rows: list[tuple[int, str, int]], rate: float, k: int = 15, min_df: float = 0.004, max_df: float = 0.25, alpha: float = 0.1, block: int = 64) -> Index | None:
     """rows: (doc_id, text, toxic). rate: the share of toxic among all labelled rows."""
     rows = _once(sorted(rows, key=lambda r: r[0]))
     if not rows:
