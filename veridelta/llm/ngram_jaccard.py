@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridelta.llm.common import WordHashes, discard, mixed, pa_schema, rolling, shared_dir, stored, words_of
+from veridelta.llm.common import WordHashes, commonest, discard, mixed, pa_schema, rolling, shared_dir, stored, words_of
 
 _hashes: list[WordHashes] = []
 
@@ -122,7 +122,7 @@ def _survey(docs: DataFrame, width: int, flush: int = 3_000_000) -> DataFrame:
 def _heavy(survey: DataFrame, least: int, max_heavy: int) -> tuple[np.ndarray, np.ndarray]:
     """The commonest shingles, at most max_heavy: sorted hashes and their counts."""
     rows = survey.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    found = rows.orderBy(F.desc("c"), "h").limit(max_heavy).toArrow()
+    found = commonest(rows, "c", max_heavy).toArrow()
     h, c = np.asarray(found.column("h")).astype(np.int64).view(np.uint64), np.asarray(found.column("c")).astype(np.int64)
     order = np.argsort(h)
     return h[order], c[order]
@@ -181,53 +181,68 @@ def _can_link(percent: int):
     return (100 * least >= percent * most) & ((F.col("pos") < 0) | (F.col("pos2") < 0) | ((100 + percent) * overlap >= percent * (n + n2)))
 
 
-def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, stream: int = 1000) -> DataFrame:
-    """Those pairs (a, b) of classes that link. Sets travel once for each pair's a, and once for each
-    stream of a centre b."""
-    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / stream).alias("salts"))
-    members = pairs.join(sizes, "b").select(F.col("a").alias("did"), "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), F.lit(1).alias("role"))
-    centres = sizes.select(F.col("b").alias("did"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    jobs = members.unionByName(centres).groupBy("did").agg(F.collect_list(F.struct("b", "salt", "role")).alias("jobs"))
+def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, block: int = 64, stream: int = 1000) -> DataFrame:
+    """Those pairs (a, b) of classes that link, by their whole sets.
+
+    Centres b are dealt into blocks of about ``block``. The set of a travels once to each block that
+    holds partners of it, with their names; so many partners in a block cost one journey. A block
+    with many members is split into streams, each of which gets the block's centres first."""
+    n_blocks = max(1, pairs.select("b").distinct().count() // block + 1)
+    placed = pairs.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(n_blocks)))
+    members = placed.groupBy("a", "block").agg(F.collect_set("b").alias("bs"))
+    sizes = members.groupBy("block").agg(F.ceil(F.count("*") / stream).alias("salts"))
+    members = members.join(sizes, "block").select(F.col("a").alias("did"), "block", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), F.lit(1).alias("role"), "bs")
+    centres = placed.select("b", "block").distinct().join(sizes, "block")
+    centres = centres.select(F.col("b").alias("did"), "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.array().cast("array<long>").alias("bs"))
+    jobs = members.unionByName(centres).groupBy("did").agg(F.collect_list(F.struct("block", "salt", "role", "bs")).alias("jobs"))
     asked = jobs.join(reps.select("did", "doc_id"), "did")
     rows = docs.select("doc_id", "text").join(asked, "doc_id")
-    target = pa_schema("b long, salt long, role int, did long, shingles binary")
+    schema = "block long, salt long, role int, did long, bs array<long>, shingles binary"
+    target = pa_schema(schema)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, target, strict=True)], schema=target)
         for batch in batches:
-            out = ([], [], [], [], [])
+            out, size = tuple([] for _ in target), 0
             for text, did, jobs in zip(batch.column("text"), batch.column("did").to_pylist(), batch.column("jobs").to_pylist(), strict=True):
                 s = shingles(text.as_py(), width)
                 if not len(s) or digest(s) != did:
                     continue
                 raw = s.tobytes()
                 for job in jobs:
-                    for column, x in zip(out, (job["b"], job["salt"], job["role"], did, raw), strict=True):
+                    for column, x in zip(out, (job["block"], job["salt"], job["role"], did, job["bs"], raw), strict=True):
                         column.append(x)
-                    if len(out[0]) >= 1000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, target, strict=True)], schema=target)
-                        out = ([], [], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, target, strict=True)], schema=target)
+                    size += len(raw)
+                    if size > 8_000_000:
+                        yield made(out)
+                        out, size = tuple([] for _ in target), 0
+            yield made(out)
 
     found = pa_schema("a long, b long")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, centre = None, None
+        at, centres = None, {}
         for batch in batches:
-            a, bs = [], []
-            for b, salt, role, did, raw in zip(*(batch.column(c).to_pylist() for c in ("b", "salt", "role", "did")), batch.column("shingles"), strict=True):
+            a, b = [], []
+            for block, salt, role, did, bs, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "salt", "role", "did", "bs")), batch.column("shingles"), strict=True):
+                if at != (block, salt):
+                    at, centres = (block, salt), {}
                 s = np.frombuffer(raw.as_py(), np.uint64)
                 if role == 0:
-                    at, centre = (b, salt), s
-                elif at == (b, salt):
-                    where = np.minimum(np.searchsorted(centre, s), len(centre) - 1)
-                    both = int((centre[where] == s).sum())
-                    if 100 * both >= percent * (len(s) + len(centre) - both):
-                        a.append(did)
-                        bs.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(bs, pa.int64())], schema=found)
+                    centres[did] = s
+                    continue
+                for partner in bs:
+                    centre = centres.get(partner)
+                    if centre is not None:
+                        where = np.minimum(np.searchsorted(centre, s), len(centre) - 1)
+                        both = int((centre[where] == s).sum())
+                        if 100 * both >= percent * (len(s) + len(centre) - both):
+                            a.append(did)
+                            b.append(partner)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=found)
 
-    sets = rows.select("text", "did", "jobs").mapInArrow(expand, "b long, salt long, role int, did long, shingles binary")
-    return sets.repartition("b", "salt").sortWithinPartitions("b", "salt", "role").mapInArrow(compare, "a long, b long")
+    sets = rows.select("text", "did", "jobs").mapInArrow(expand, schema)
+    return sets.repartition("block", "salt").sortWithinPartitions("block", "salt", "role").mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame, base: str, name: str) -> DataFrame:
@@ -320,24 +335,26 @@ def _stars(entries: DataFrame, percent: int) -> DataFrame:
 def _all_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Every pair of classes in different components that can link.
 
-    Pairs form between the classes outside a list's largest component and all others there. What two
-    posted prefixes share is counted exactly; past the end of the prefix that ends first, at most the
-    rest of that set can be shared: pairs whose count can't make up the overlap go."""
+    Pairs form between the classes outside a list's largest component and all others there, where the
+    bounds allow it: the join itself drops the rest. Then what the posted prefixes of a pair share is
+    counted; past the end of the prefix that ends first, at most the rest of that set can be shared:
+    pairs whose count can't make up the overlap go."""
     top = entries.groupBy("h", "root").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("root", F.struct("m", "root")).alias("top"))
-    entries = entries.join(top, "h")
-    minor = entries.where("root <> top")
-    others = entries.select("h", F.col("did").alias("did2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"))
-    near = minor.join(others, "h").where(F.col("root") != F.col("root2"))
-    near = near.where((100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & ((F.col("pos") < 0) == (F.col("pos2") < 0)))
-    # Two minor classes meet twice, once from either side: half a count each time.
-    weight = F.when(F.col("root2") == F.col("top"), 2).otherwise(1)
+    minor = entries.join(top, "h").where("root <> top").drop("top")
+    others = entries.select(F.col("h").alias("h2"), F.col("did").alias("did2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"))
+    alike = (F.col("pos") < 0) == (F.col("pos2") < 0)
+    near = minor.join(others, (F.col("h") == F.col("h2")) & (F.col("root") != F.col("root2")) & alike & _can_link(percent))
     swap = F.col("did") > F.col("did2")
     first = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    near = near.select(first("did", "did2").alias("a"), first("did2", "did").alias("b"), first("n", "n2").alias("n"), first("n2", "n").alias("n2"), weight.alias("w"), "pos", "pos2")
-    some = near.groupBy("a", "b", "n", "n2").agg(F.sum(F.when(F.col("pos") >= 0, F.col("w")).otherwise(0)).alias("w"), F.min("pos").alias("pos"), F.max(_can_link(percent)).alias("can"))
+    near = near.select(first("did", "did2").alias("a"), first("did2", "did").alias("b"), first("n", "n2").alias("n"), first("n2", "n").alias("n2"), "pos")
+    some = near.groupBy("a", "b", "n", "n2").agg(F.min("pos").alias("pos"))
+    prefix = entries.where("pos >= 0").groupBy("did").agg(F.collect_set("h").alias("hs"))
+    side = lambda c: prefix.select(F.col("did").alias(c), F.col("hs").alias(f"hs_{c}"))
+    some = some.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    both = F.coalesce(F.size(F.array_intersect("hs_a", "hs_b")), F.lit(0))
     rest = F.greatest(F.col("n") - _posted(F.col("n"), percent), F.col("n2") - _posted(F.col("n2"), percent))
-    enough = (100 + percent) * (F.col("w") / 2 + rest) >= percent * (F.col("n") + F.col("n2"))
-    return some.where((F.col("pos") < 0) | (F.col("can") & enough)).select("a", "b")
+    enough = (100 + percent) * (both + rest) >= percent * (F.col("n") + F.col("n2"))
+    return some.where((F.col("pos") < 0) | enough).select("a", "b")
 
 
 def keep_one(docs: DataFrame, columns: list[str], **options) -> DataFrame:
