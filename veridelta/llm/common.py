@@ -142,3 +142,17 @@ def rolling(h: np.ndarray, width: int) -> np.ndarray:
         out *= _M
         out += h[j : n + j]
     return mixed(out)
+
+
+def commonest(counts: DataFrame, c: str, at_most: int) -> DataFrame:
+    """Rows with the greatest counts, at most so many: all of those at or above a limit that a
+    histogram of the counts gives. Unlike a sorted top-k, no task gathers candidates of all others."""
+    if at_most <= 0:
+        return counts.limit(0)
+    fine = F.floor(F.log2(F.col(c).cast("double")) * 64).cast("int")
+    room, limit = at_most, None
+    for r in counts.groupBy(fine.alias("bin")).count().orderBy(F.desc("bin")).collect():
+        if r["count"] > room:
+            break
+        room, limit = room - r["count"], r["bin"]
+    return counts.where(fine >= limit) if limit is not None else counts.limit(0)
