@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veridelta.llm import ann, chat_format, langid, license_scan, lm_scoring, mixing, quality, queries, toxicity
@@ -256,6 +257,20 @@ def test_recall_and_exact_scores(spark):
     assert hits >= 0.9 * total
 
 
+def test_recall_on_a_larger_table(spark):
+    x = np.random.default_rng(3).normal(size=(50_000, 64))
+    table = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float64()))}))
+    got = Counter()
+    for r in ann.search(table, every=500).collect():
+        got[r.query_id, r.vec_id] += 1
+    assert set(got.values()) == {1} and len(got) == 1000
+    want = set()
+    for q in range(0, len(x), 500):
+        d = ((x - x[q]) ** 2).sum(1)
+        want |= {(q, int(i)) for i in np.argsort(d)[:11] if i != q}
+    assert len(want & got.keys()) >= 0.9 * len(want)
+
+
 def test_vectors_odd_rows(spark):
     same = [(i, [1.0, 2.0]) for i in range(0, 300)]
     odd = [(1000, None), (1001, [0.0, 0.0]), (1002, [None, 1.0]), (1003, [float("nan"), 1.0]), (1004, [float("inf"), 1.0]), (1005, [1.0]), (None, [1.0, 1.0]), (7, [1.0, 2.0]), (400, [1.0, 2.5])]
