@@ -1,8 +1,10 @@
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -238,6 +240,35 @@ def test_licenses(spark):
     assert license_scan.scan(table.limit(0)).count() == 0
 
 
+def test_license_files(spark):
+    isc = """ISC License
+
+Copyright (c) 2021, Some Body <a@b.c>
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
+OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+    mit = next(t for n, t in license_scan.KNOWN if n == "MIT" and len(t) > 500)
+    files = {p.stem: p.read_text() for p in (Path(license_scan.__file__).parent / "licenses").glob("*.txt")}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "Unlicense"} <= set(files)
+    cases = [("ISC", isc), ("ISC", isc.partition("\n")[2]), ("MIT", "The MIT License (MIT)\n\nCopyright © 2019 A\n\n" + textwrap.fill(mit, 40)), ("MIT", "MIT License\n" + mit)]
+    for name, t in files.items():
+        body = re.sub(r"(?m)^\s*Copyright \(C\) .*$", "", t)
+        cases += [(name, t), (name, t.upper()), (name, "\n".join(textwrap.fill(p, 47) for p in body.split("\n\n")))]
+    cases += [("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n" + files["BSD-3-Clause"])]
+    cases += [("Apache-2.0", files["Apache-2.0"].partition("APPENDIX:")[0]), ("Apache-2.0", files["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 X")), (None, "Copyright holders have rights"), (None, files["MPL-2.0"][:9000])]
+    got = {r.doc_id: r.text_license for r in license_scan.scan(docs(spark, [(i, t, None, None) for i, (_, t) in enumerate(cases)])).collect()}
+    assert [(i, got[i]) for i in range(len(cases))] == [(i, n) for i, (n, _) in enumerate(cases)]
+
+
 # ---- nearest neighbours ---------------------------------------------------------------------
 
 

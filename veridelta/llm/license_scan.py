@@ -1,7 +1,7 @@
 r"""Licence scans by canonical digest lookup.
 
 A text is brought to a canonical form: lower case, equivalent spellings made one, copyright lines
-and "all rights reserved" lines removed, everything that is neither letter nor digit made one
+(with a sign or a year) and "all rights reserved" lines removed, everything that is neither letter nor digit made one
 space. The digest of the canonical whole text, and of each canonical line, is joined to the
 digests of known licences and licence notices, canonicalised in the same way. Whole texts or whole
 lines are compared, never parts of them.
@@ -15,11 +15,15 @@ only. The join's small side is the table of known licences, whose size the calle
 
 from __future__ import annotations
 
+import re
+from itertools import product
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Known licence texts and notices: public standard wordings.
-KNOWN = (
+#: Short licence texts and notices: public standard wordings.
+NOTICES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("MIT", "Released under the MIT License."),
@@ -36,10 +40,63 @@ KNOWN = (
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 )
 
+#: Title lines that stand above texts which have none of their own.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "BSD License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+#: Where a text may begin, without its own title lines, and end, without advice on its use.
+STARTS = ("TERMS AND CONDITIONS FOR USE", "CC0 1.0 Universal", "CREATIVE COMMONS CORPORATION IS", "Statement of Purpose", " Copyright (C) ", "1. Definitions")
+ENDS = ("END OF TERMS AND CONDITIONS", "APPENDIX: How to apply", "How to Apply These Terms", "Exhibit A - Source Code Form", "EXHIBIT A -Mozilla")
+#: Wordings that stand for one another: (licence, standard one, other one).
+OTHER = (
+    ("ISC", "modify, and/or distribute", "modify, and distribute"),
+    ("BSD-2-Clause", "COPYRIGHT HOLDER OR CONTRIBUTORS", "COPYRIGHT OWNER OR CONTRIBUTORS"),
+    ("BSD-3-Clause", "COPYRIGHT HOLDER OR CONTRIBUTORS", "COPYRIGHT OWNER OR CONTRIBUTORS"),
+    ("BSD-2-Clause", "\n1. ", "\n* "),
+    ("BSD-3-Clause", "\n1. ", "\n* "),
+    *((f"{n}GPL-{v}", "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301", "59 Temple Place, Suite 330, Boston, MA 02111-1307") for n, v in (("", "2.0"), ("L", "2.0"), ("L", "2.1"))),
+)
+
+
+def _forms(name: str, text: str) -> list[str]:
+    """The usual forms of one whole text."""
+    texts = [text]
+    for licence, one, other in OTHER:
+        if licence == name:
+            if one == "\n1. ":
+                texts += [t.replace(one, other).replace("\n2. ", other).replace("\n3. ", other) for t in texts]
+            else:
+                texts += [re.sub(r"\s+".join(map(re.escape, one.split())), other, t) for t in texts]
+    out = []
+    for t in texts:
+        top = t[:3000]
+        starts = [0, *(top.index(m) for m in STARTS if name not in TITLES and m in top)]
+        ends = [len(t), *(t.rindex(m) for m in ENDS if m in t), *(t.rindex(m) + len(m) for m in ENDS[:1] if m in t)]
+        out += [t[a:b] for a, b in product(starts, ends)]
+        out += [f"{title}\n{t}" for title in TITLES.get(name, ())]
+    return out
+
+
+def _known():
+    files = sorted((Path(__file__).parent / "licenses").glob("*.txt"))
+    whole = [(p.stem, p.read_text(encoding="utf-8")) for p in files] + [(n, t) for n, t in NOTICES if len(t) > 500]
+    return NOTICES + tuple(dict.fromkeys((n, form) for n, t in whole for form in _forms(n, t)))
+
+
+#: Known licence texts, in their usual forms, and notices.
+KNOWN = _known()
+
 #: Equivalent spellings: pattern -> the one that stays. Words of canonical text, between spaces.
-SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("noncommercial", "non commercial"), ("merchantibility", "merchantability"), ("organisation", "organization"), ("favour", "favor"))
+SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("noncommercial", "non commercial"), ("merchantibility", "merchantability"), ("organisation", "organization"), ("favour", "favor"), ("https", "http"))
 
-_NOTICE = r"^\s*((copyright\b|\(c\)|©).*|all rights reserved\W*)$"
+# "copyright" begins many lines of wrapped licence texts: only with a sign or year (or the place for
+# one) after it is a line a notice.
+_YEAR = r"(\b(19|20)(\d\d|yy)\b|\byyyy\b|[\[<{(]year\b)"
+_NOTICE = rf"^\s*((copyright\b.*(\(c\)|©|{_YEAR})|©|\(c\)\s*(copyright\b|{_YEAR})).*|all rights reserved\W*)$"
 
 
 def _canonical_line(line):
