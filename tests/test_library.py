@@ -259,3 +259,16 @@ def test_against_sql(spark, name):
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(found.columns)
     assert sorted(str(plain(list(r))) for r in found.select(*names).collect()) == sorted(str(plain(list(r))) for r in want.fetchall())
+
+
+def test_pages_of_every_language(spark):
+    from collections import Counter
+
+    from veridelta.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "lang", "text").collect()
+    got = catalogue.QUERIES["q_align_pages"](spark, sf).collect()
+    assert Counter(r.pair_id for r in got if r.baseline_index is not None) == Counter(r.source for r in rows)
+    assert Counter(r.pair_id for r in got if r.candidate_index is not None) == Counter(r.source for r in rows if r.doc_id % 11 != 3)
+    assert any(r.lang != "en" for r in rows) and any(not r.text.isascii() for r in rows)

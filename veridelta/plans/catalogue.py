@@ -41,18 +41,23 @@ def _english(spark, sf_dir):
     return read(spark, sf_dir, "documents").where("lang = 'en' AND octet_length(text) = length(text)")
 
 
+def _documents(spark, sf_dir):
+    """All pages, of every language, for queries that no SQL must agree with."""
+    return read(spark, sf_dir, "documents")
+
+
 def _paged(docs):
     number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     return docs.select("source", number.alias("page_number"), "doc_id", "text")
 
 
-def b_pages(spark, sf_dir):
-    return _paged(_english(spark, sf_dir))
+def b_pages(spark, sf_dir, docs=_english):
+    return _paged(docs(spark, sf_dir))
 
 
-def c_pages(spark, sf_dir):
+def c_pages(spark, sf_dir, docs=_english):
     edited = F.when(F.col("doc_id") % 7 == 2, F.replace("text", F.lit("the"), F.lit("teh"))).otherwise(F.col("text"))
-    return _paged(_english(spark, sf_dir).where("doc_id % 11 <> 3").withColumn("text", edited))
+    return _paged(docs(spark, sf_dir).where("doc_id % 11 <> 3").withColumn("text", edited))
 
 
 def _line_cells(spark, sf_dir, drop: int):
@@ -359,14 +364,14 @@ def q_ocr_blocks(spark, sf_dir):
 # ---- alignment and content ------------------------------------------------------------------
 
 
-def _comparison(spark, sf_dir):
+def _comparison(spark, sf_dir, docs=_documents):
     side = lambda df: df.select(F.col("source").alias("pair_id"), "page_number", "text")
-    return compare.DocumentComparison(*compare.from_texts(side(c_pages(spark, sf_dir)), side(b_pages(spark, sf_dir))))
+    return compare.DocumentComparison(*compare.from_texts(side(c_pages(spark, sf_dir, docs)), side(b_pages(spark, sf_dir, docs))))
 
 
 @query(f"WITH {_B_PAGES}, {_C_PAGES} SELECT source AS pair_id, c.page_number - 1 AS candidate_index, b.page_number - 1 AS baseline_index FROM c_pages c JOIN b_pages b USING (source) WHERE sha256(trim(regexp_replace(c.text, '[\\s\\p{{Z}}]+', ' ', 'g'))) = sha256(trim(regexp_replace(b.text, '[\\s\\p{{Z}}]+', ' ', 'g')))")
 def q_align_exact(spark, sf_dir):
-    return align.align_exact(_comparison(spark, sf_dir).prints).select("pair_id", "candidate_index", "baseline_index")
+    return align.align_exact(_comparison(spark, sf_dir, _english).prints).select("pair_id", "candidate_index", "baseline_index")
 
 
 @query()
@@ -376,7 +381,7 @@ def q_align_pages(spark, sf_dir):
 
 @query()
 def q_page_text_diff(spark, sf_dir):
-    pairs = c_pages(spark, sf_dir).withColumnRenamed("text", "c").join(b_pages(spark, sf_dir).select("doc_id", F.col("text").alias("b")), "doc_id").where("c <> b")
+    pairs = c_pages(spark, sf_dir, _documents).withColumnRenamed("text", "c").join(b_pages(spark, sf_dir, _documents).select("doc_id", F.col("text").alias("b")), "doc_id").where("c <> b")
     return pairs.select("doc_id", text.sequence_ratio(text.collapse_space("c"), text.collapse_space("b")).alias("score")).where("score < 0.98")
 
 
@@ -394,7 +399,7 @@ def q_classify_unmatched(spark, sf_dir):
 
 @query(f"WITH {_B_PAGES}, {_C_PAGES} SELECT source, c.page_number, len(list_filter(string_split(c.text, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS candidate_count, len(list_filter(string_split(b.text, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS baseline_count FROM c_pages c JOIN b_pages b USING (source, page_number) WHERE candidate_count <> baseline_count")
 def q_element_counts(spark, sf_dir):
-    prints = _comparison(spark, sf_dir).prints
+    prints = _comparison(spark, sf_dir, _english).prints
     n = F.coalesce(F.try_element_at("type_counts", F.lit("paragraph")), F.lit(0)).cast("long")
     side = lambda s: prints.where(F.col("side") == s).select(F.col("pair_id").alias("source"), "page_number", n.alias(f"{s}_count"))
     return side("candidate").join(side("baseline"), ["source", "page_number"]).where("candidate_count <> baseline_count")
