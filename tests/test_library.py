@@ -272,3 +272,12 @@ def test_pages_of_every_language(spark):
     assert Counter(r.pair_id for r in got if r.baseline_index is not None) == Counter(r.source for r in rows)
     assert Counter(r.pair_id for r in got if r.candidate_index is not None) == Counter(r.source for r in rows if r.doc_id % 11 != 3)
     assert any(r.lang != "en" for r in rows) and any(not r.text.isascii() for r in rows)
+
+
+def test_duplicate_keys_of_the_whole_table(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{SF}/lineitem.parquet')")
+    want = con.execute(__spark_entry__.oracle_sql()["q_cell_diff_dups_whole"]).fetchall()
+    got = [tuple(r) for r in __spark_entry__.queries()["q_cell_diff_dups_whole"](spark, SF).collect()]
+    rows = con.execute("SELECT count(*) FROM lineitem").fetchone()[0]
+    assert sorted(got) == sorted(want) and sum(n for _, n, _ in got) > 0.9 * rows

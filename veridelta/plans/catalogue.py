@@ -196,14 +196,24 @@ def q_row_presence(spark, sf_dir):
     return joined.where("merge_status <> 'both'").select(*_KEYS, "merge_status")
 
 
-@query("WITH b AS (SELECT l_orderkey, l_linenumber, l_returnflag AS flag FROM lineitem WHERE l_orderkey % 5 = 0), c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN 'changed' ELSE l_returnflag END AS flag FROM lineitem WHERE l_orderkey % 10 = 0) SELECT merge_status, count(*)::BIGINT AS n_rows, sum(CASE WHEN merge_status = 'both' AND levenshtein(bf, cf) > 1 THEN 1 ELSE 0 END)::BIGINT AS n_changed FROM (SELECT CASE WHEN c.l_orderkey IS NULL THEN 'left_only' WHEN b.l_orderkey IS NULL THEN 'right_only' ELSE 'both' END AS merge_status, b.flag AS bf, c.flag AS cf FROM b FULL OUTER JOIN c ON b.l_orderkey = c.l_orderkey AND b.l_linenumber = c.l_linenumber) GROUP BY merge_status")
-def q_cell_diff_dups(spark, sf_dir):
+def _dups(spark, sf_dir, base: str, scan: str):
     rows = read(spark, sf_dir, "lineitem").select(*_KEYS, F.col("l_returnflag").alias("flag"))
-    base, scan = rows.where("l_orderkey % 5 = 0"), rows.where("l_orderkey % 10 = 0").withColumn("flag", F.when(F.col("l_orderkey") % 3 == 0, "changed").otherwise(F.col("flag")))
+    base, scan = rows.where(base), rows.where(scan).withColumn("flag", F.when(F.col("l_orderkey") % 3 == 0, "changed").otherwise(F.col("flag")))
     joined = cells.join_rows(base, scan, _KEYS).withColumn("changed", (F.col("merge_status") == "both") & (F.levenshtein("base.flag", "scan.flag") > 1))
     return joined.groupBy("merge_status").agg(F.count("*").alias("n_rows"), F.count_if("changed").alias("n_changed"))
 
 
+@query("WITH b AS (SELECT l_orderkey, l_linenumber, l_returnflag AS flag FROM lineitem WHERE l_orderkey % 5 = 0), c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN 'changed' ELSE l_returnflag END AS flag FROM lineitem WHERE l_orderkey % 10 = 0) SELECT merge_status, count(*)::BIGINT AS n_rows, sum(CASE WHEN merge_status = 'both' AND levenshtein(bf, cf) > 1 THEN 1 ELSE 0 END)::BIGINT AS n_changed FROM (SELECT CASE WHEN c.l_orderkey IS NULL THEN 'left_only' WHEN b.l_orderkey IS NULL THEN 'right_only' ELSE 'both' END AS merge_status, b.flag AS bf, c.flag AS cf FROM b FULL OUTER JOIN c ON b.l_orderkey = c.l_orderkey AND b.l_linenumber = c.l_linenumber) GROUP BY merge_status")
+def q_cell_diff_dups(spark, sf_dir):
+    return _dups(spark, sf_dir, "l_orderkey % 5 = 0", "l_orderkey % 10 = 0")
+
+
+@query("WITH b AS (SELECT l_orderkey, l_linenumber, l_returnflag AS flag FROM lineitem WHERE l_orderkey % 19 <> 0), c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN 'changed' ELSE l_returnflag END AS flag FROM lineitem WHERE l_orderkey % 17 <> 0) SELECT merge_status, count(*)::BIGINT AS n_rows, sum(CASE WHEN merge_status = 'both' AND levenshtein(bf, cf) > 1 THEN 1 ELSE 0 END)::BIGINT AS n_changed FROM (SELECT CASE WHEN c.l_orderkey IS NULL THEN 'left_only' WHEN b.l_orderkey IS NULL THEN 'right_only' ELSE 'both' END AS merge_status, b.flag AS bf, c.flag AS cf FROM b FULL OUTER JOIN c ON b.l_orderkey = c.l_orderkey AND b.l_linenumber = c.l_linenumber) GROUP BY merge_status")
+def q_cell_diff_dups_whole(spark, sf_dir):
+    """As q_cell_diff_dups, of the whole table but for the keys dropped on either side to plant missing rows."""
+    return _dups(spark, sf_dir, "l_orderkey % 19 <> 0", "l_orderkey % 17 <> 0")
+
+
 @query("SELECT l_orderkey, l_linenumber, ord, coalesce(last_value(nullif(k, '') IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY ord ROWS UNBOUNDED PRECEDING), '') AS k FROM (SELECT l_orderkey, l_linenumber, ord, CASE WHEN ord % 3 = 1 THEN '' ELSE l_returnflag END AS k FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS ord FROM lineitem))")
 def q_ffill_keys(spark, sf_dir):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
