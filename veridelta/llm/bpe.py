@@ -21,14 +21,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from veridelta.llm.common import map_arrow
+from veridelta.llm.common import kept, map_arrow
 
 
 def default_vocabulary() -> str:
@@ -354,10 +353,13 @@ class StreamDecoder:
         return self.feed(ids) + self.close()
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
-    """One for each Python worker."""
-    return Encoder(path, pattern)
+    """One for each Python worker, until it turns to another operator."""
+    state, key = kept(__name__), (path, pattern)
+    if key not in state:
+        state.clear()
+        state[key] = Encoder(path, pattern)
+    return state[key]
 
 
 def _decoder(enc: Encoder) -> StreamDecoder:

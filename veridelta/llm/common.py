@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -13,25 +15,62 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch carries to Python at most; texts can be long.
-BATCH_ROWS = 2000
+#: What one Arrow batch carries to Python at most: rows, and bytes where texts are long.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by rows and by bytes, for the queries of this session that run from now on
+    (Spark reads both settings when a query runs, so they can't be restored here). Smaller bounds stay."""
+    for name, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(re.match(r"-?\d+", spark.conf.get(key))[0])
+        if not 0 < now <= bound:
+            spark.conf.set(key, str(bound))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table; other columns, whatever their names, are not read."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+#: What the operator at work keeps in this Python worker between tasks.
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """State that an operator keeps in a reused Python worker (caches, machines): one operator's at
+    a time. A worker that turns to another operator drops it and returns the memory."""
+    state = _kept.get(owner)
+    if state is None:
+        _kept.clear()
+        give_back()
+        state = _kept[owner] = {}
+    return state
+
+
+def give_back() -> None:
+    """Return free memory to the machine: workers live on, and their peaks would add up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is unset, as in tests on one machine, is a temporary folder set.
+    Only where that setting is unset and everything runs on one machine is a temporary folder set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="veridelta-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/veridelta-{uuid.uuid4().hex}"
@@ -74,12 +113,14 @@ def crc_of(value) -> int:
 
 def map_arrow(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], Iterable[dict | pa.RecordBatch]]) -> DataFrame:
     """mapInArrow with a function from one batch to one dict of columns (or None)."""
-    target = pa_schema(schema, df.sparkSession)
+    target, owner = pa_schema(schema, df.sparkSession), fn.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(owner)
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in target], schema=target)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -108,7 +149,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, kept up to a bound and then forgotten; values never change by it."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 200_000):
         super().__init__()
         self.bound = bound
 

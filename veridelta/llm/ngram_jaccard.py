@@ -8,7 +8,8 @@ Equal sets are one class first. Then, by set size:
 
 * Small sets enumerate subsets. If two sets link, the larger of size x, they share a subset of size
   ceil(x * percent / 100); so a set lists its subsets of each such size that a partner could need.
-  The boundary is where that costs more signatures than ``subset_cost`` times the inverted list way.
+  The boundary is chosen by cost: the greatest size up to which listing subsets costs less than
+  posting shingles and scanning the lists they stand in, with list lengths as surveyed in the data.
 * Large sets (and small ones that can have a large partner) post their rarest shingles to inverted
   lists: linked sets share one of the first |s| - ceil(|s| * percent / 100) + 1 in any common order.
   Lists are scanned with length and position bounds on the overlap.
@@ -17,11 +18,14 @@ The common order puts heavy shingles (those that repeat within what a task reads
 documents) last, so a passage that many documents share is posted by few of them. The table of heavy
 shingles sent to the tasks holds at most ``max_heavy`` entries; it only orders, and any order is right.
 
-Links are verified on whole sets, in rounds: first each class against one central class of its lists,
-then, twice, what isn't connected yet against the largest component there, then every remaining pair
-of different components that can link. Pairs inside a component aren't formed. So a group of copies costs work in
-proportion to its size, and no pair that could join two components is left out. Members meet their
-centre in salted streams sorted with the centre first: nothing gathers a group in memory.
+Links are verified on whole sets, in rounds. In a star round each list names a few classes of its
+largest component, drawn anew by a hash, and every class outside it is verified against those it
+meets most often: at most ``partners`` of them. Star rounds go on while they find links, so a group
+of near copies joins at a cost in proportion to its size. The last round is exact: every remaining
+pair of classes in different components that can link is verified. Pairs inside a component aren't
+formed. A pair is formed only if set sizes and positions in the lists leave it possible.
+Members meet their centre in salted streams sorted with the centre first: nothing gathers a group
+in memory.
 
 Shingles are compared by 64-bit hashes, classes by 64-bit digests of sorted hashes.
 
@@ -34,7 +38,7 @@ read. An empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 from math import comb
 
 import numpy as np
@@ -43,9 +47,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridelta.llm.common import WordHashes, commonest, discard, mixed, pa_schema, rolling, shared_dir, stored, words_of
+from veridelta.llm.common import WordHashes, bounded_batches, commonest, discard, give_back, kept, map_arrow, mixed, pa_schema, rolling, shared_dir, stored, words_of
 
-_hashes: list[WordHashes] = []
+#: Greatest size of sets that may list subsets: a set of 12 has 924 subsets of 6.
+MOST_SMALL = 12
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -53,9 +58,10 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = words_of(text)
     if not words:
         return np.empty(0, np.uint64)
-    if not _hashes:
-        _hashes.append(WordHashes())
-    h = _hashes[0].of(words)
+    state = kept(__name__)
+    if "hashes" not in state:
+        state["hashes"] = WordHashes()
+    h = state["hashes"].of(words)
     return np.unique(rolling(h, width if len(h) >= width else len(h)))
 
 
@@ -74,51 +80,84 @@ def subset_sizes(n: int, percent: int) -> list[int]:
     return sorted({need(x, percent) for x in range(n, n * 100 // percent + 1)})
 
 
-def boundary(percent: int, subset_cost: float) -> int:
-    """The greatest set size that enumerates subsets."""
-    n = 1
-    while sum(comb(n + 1, m) for m in subset_sizes(n + 1, percent)) <= subset_cost * (n + 2 - need(n + 1, percent)):
-        n += 1
-    return n
+def boundary(percent: int, scanned: dict[int, tuple[int, int]]) -> int:
+    """The greatest set size that enumerates subsets. scanned: for each small size the number of
+    sets, and the entries they would post or scan in inverted lists."""
+    small = 0
+    for n in range(1, MOST_SMALL + 1):
+        sets, entries = scanned.get(n, (0, 0))
+        by_lists = entries / sets if sets else 2.0 * (n - need(n, percent) + 1)
+        if sum(comb(n, m) for m in subset_sizes(n, percent)) > by_lists:
+            break
+        small = n
+    return small
 
 
-def _survey(docs: DataFrame, width: int, flush: int = 3_000_000) -> DataFrame:
+def _survey(docs: DataFrame, width: int, flush: int = 2_000_000) -> DataFrame:
     """One reading of all texts. Rows with h null: doc_id, n, did, the set size and class of every
-    document. Rows with h: a shingle that three or more different texts of one task's share hold,
-    and in how many (c)."""
-    schema = "doc_id long, n long, did long, h long, c long"
+    document, and the set itself of small ones. Rows with h: a shingle that two or more different
+    texts of one task's share hold, and in how many (c)."""
+    schema = "doc_id long, n long, did long, few array<long>, h long, c long"
     target = pa_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size, seen = [], 0, set()
 
         def shared():
-            h, c = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            h, c = h[c > 2], c[c > 2]
+            h = np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+            c = np.diff(np.append(first, len(h)))
+            h, c = h[first[c > 1]], c[c > 1]
             none = pa.nulls(len(h), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], schema=target)
+            few = pa.nulls(len(h), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([none, none, none, few, pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], schema=target)
 
         for batch in batches:
-            ns, dids = [], []
+            ns, dids, few = [], [], []
             for text in batch.column("text"):
                 s = shingles(text.as_py(), width)
                 ns.append(len(s))
                 dids.append(digest(s) if len(s) else None)
+                few.append(s.view(np.int64) if 0 < len(s) <= MOST_SMALL else None)
                 if len(s) and dids[-1] not in seen:
-                    if len(seen) < 200_000:
+                    if len(seen) < 100_000:
                         seen.add(dids[-1])
                     parts.append(s)
                     size += len(s)
+                    if size >= flush:
+                        yield shared()
+                        parts, size = [], 0
             none = pa.nulls(len(ns), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(dids, pa.int64()), none, none], schema=target)
-            if size >= flush:
-                yield shared()
-                parts, size = [], 0
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(dids, pa.int64()), pa.array(few, pa.list_(pa.int64())), none, none], schema=target)
         yield shared()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def _scanned(survey: DataFrame, percent: int, heavy) -> dict[int, tuple[int, int]]:
+    """For each size of small sets: how many, and the entries that their posted shingles would post
+    and scan, list lengths taken from the table of heavy shingles."""
+    small = survey.where("few is not null").groupBy("did").agg(F.any_value("few").alias("few"))
+    shared = survey.sparkSession.sparkContext.broadcast(heavy)
+
+    def work(batch):
+        known, counts = shared.value
+        ns, entries = [], []
+        for few in batch.column("few").to_pylist():
+            n, sizes = len(few), np.ones(len(few), np.int64)
+            if len(known):
+                h = np.array(few, np.int64).view(np.uint64)
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                sizes = np.where(known[at] == h, counts[at], 1)
+            ns.append(n)
+            entries.append(int((1 + np.sort(sizes))[: n - need(n, percent) + 1].sum()))
+        return {"n": ns, "entries": entries}
+
+    rows = map_arrow(small.select("few"), "n long, entries long", work).groupBy("n").agg(F.count("*").alias("sets"), F.sum("entries").alias("entries"))
+    return {r["n"]: (r["sets"], r["entries"]) for r in rows.collect()}
+
+
 def _heavy(survey: DataFrame, least: int, max_heavy: int) -> tuple[np.ndarray, np.ndarray]:
     """The commonest shingles, at most max_heavy: sorted hashes and their counts."""
     rows = survey.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
@@ -132,7 +171,8 @@ def _postings(docs: DataFrame, width: int, percent: int, small: int, heavy) -> D
     """h, did, n, pos: entries of the inverted lists; subsets have pos -1."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(heavy)
-    target = pa_schema("h long, did long, n int, pos int")
+    schema = "h long, did long, n int, pos int"
+    target = pa_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -145,7 +185,7 @@ def _postings(docs: DataFrame, width: int, percent: int, small: int, heavy) -> D
                 did = digest(s) if n else None
                 if did is None or did in seen:
                     continue
-                if len(seen) < 200_000:
+                if len(seen) < 100_000:
                     seen.add(did)
                 signs = []
                 if n <= small:
@@ -169,7 +209,9 @@ def _postings(docs: DataFrame, width: int, percent: int, small: int, heavy) -> D
             if hs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(dids)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(ats))], schema=target)
 
-    return docs.select("text").mapInArrow(run, "h long, did long, n int, pos int")
+        give_back()
+
+    return docs.select("text").mapInArrow(run, schema)
 
 
 def _can_link(percent: int):
@@ -249,7 +291,7 @@ def components(edges: DataFrame, base: str, name: str) -> DataFrame:
     """did, root of every node of the edges (a, b): alternating large and small stars."""
     spark = edges.sparkSession
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), base, f"{name}-0")
-    for turn in range(1, 60):
+    for turn in count(1):  # until stable: the number of turns grows with the logarithm of the nodes
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.join(low, both["a"] == low["k"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -266,31 +308,37 @@ def components(edges: DataFrame, base: str, name: str) -> DataFrame:
     return edges.select(F.col("a").alias("did"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
-def link(docs: DataFrame, width: int = 5, percent: int = 75, subset_cost: float = 4.0, least_heavy: int = 24, max_heavy: int = 1_000_000, stars: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs."""
+def link(docs: DataFrame, width: int = 5, percent: int = 75, least_heavy: int = 6, max_heavy: int = 1_000_000, partners: int = 6, gain: float = 0.02) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs. Star rounds end when less than the
+    share ``gain`` of the pairs they verify are links; the exact round follows in any case."""
     spark = docs.sparkSession
     base = shared_dir(spark)
+    bounded_batches(spark)
     docs = docs.select("doc_id", "text")
     survey = stored(_survey(docs, width), base, "survey")
     sketch = survey.where("h is null").select("doc_id", "n", "did")
     reps = sketch.where("did is not null and doc_id is not null").groupBy("did").agg(F.min("doc_id").alias("doc_id"))
-    small = boundary(percent, subset_cost)
-    lists = stored(_lists(_postings(docs.where("doc_id is not null"), width, percent, small, _heavy(survey, least_heavy, max_heavy))), base, "lists")
-    labels, edges, turn, left = None, None, 0, stars
+    heavy = _heavy(survey, least_heavy, max_heavy)
+    small = boundary(percent, _scanned(survey, percent, heavy))
+    entries = stored(_lists(_postings(docs.where("doc_id is not null"), width, percent, small, heavy)), base, "entries-0")
+    labels, edges, turn, star = None, None, 0, True
     while True:
-        entries = lists if labels is None else stored(_open_lists(lists, labels), base, f"entries-{turn}")
-        star = left > 0
-        pairs = stored((_stars if star else _all_pairs)(entries, percent), base, f"pairs-{turn}")
-        found = None if pairs.isEmpty() else stored(_verify(pairs, reps, docs, width, percent), base, f"links-{turn}")
-        discard(spark, base, f"entries-{turn}")
-        if found is not None and not found.isEmpty():
+        pairs = stored(_stars(entries, percent, partners, turn) if star else _all_pairs(entries, percent), base, f"pairs-{turn}")
+        asked = pairs.count()
+        found = stored(_verify(pairs, reps, docs, width, percent), base, f"links-{turn}") if asked else None
+        discard(spark, base, f"pairs-{turn}")
+        links = found.count() if asked else 0
+        if links:
             edges = found if edges is None else edges.union(found)
             labels = components(edges, base, f"labels-{turn}")
-        elif star:
-            left = 1  # stars find nothing more: only the exact round is left
         if not star:
             break
-        turn, left = turn + 1, left - 1
+        star = links > gain * asked
+        if links:
+            # Components only grow: a list that holds one alone is done with.
+            entries = stored(_open_lists(entries, labels), base, f"entries-{turn + 1}")
+            discard(spark, base, f"entries-{turn}")
+        turn += 1
     roots = reps.withColumn("root", F.col("did")) if labels is None else reps.join(labels, "did", "left").withColumn("root", F.coalesce("root", "did"))
     smallest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = roots.join(smallest, "root").select("did", "component_id")
@@ -318,43 +366,43 @@ def _posted(n, percent: int):
     return n - F.ceil(n * percent / 100) + 1
 
 
-def _stars(entries: DataFrame, percent: int) -> DataFrame:
-    """For each class one central class, of another component, to be verified against. The centre of
-    a list is, in its largest component, the class whose entry comes earliest: most of its set is heavy."""
-    place = (F.col("pos") / F.col("n")).alias("at")
-    top = entries.groupBy("h", "root").agg(F.count("*").alias("m"), F.min(F.struct(place, "did", "n", "pos")).alias("c"))
-    top = top.groupBy("h").agg(F.max_by(F.struct("root", "c"), F.struct("m", "root")).alias("t"))
-    near = entries.join(top, "h").where(F.col("root") != F.col("t.root"))
-    near = near.select("did", "n", "pos", F.col("t.c.did").alias("did2"), F.col("t.c.n").alias("n2"), F.col("t.c.pos").alias("pos2")).where(_can_link(percent))
+def _stars(entries: DataFrame, percent: int, partners: int, turn: int, centres: int = 4) -> DataFrame:
+    """Pairs of a class (a) and a class of another component (b), at most ``partners`` for each a.
+
+    A list offers as centres the most central classes of its largest component, in each round the
+    next few: those of whose posted shingles the greatest share stands in lists of several components,
+    so that they hold little of their own. The order is the same in all lists, so the lists that two
+    classes share offer the same centres, and how often a class meets one tells how alike they are."""
+    central = entries.groupBy("did", "n").agg(F.count("*").alias("k"))
+    central = central.select("did", F.round(F.col("k") / _posted(F.col("n"), percent), 3).alias("share"))
+    sizes = entries.groupBy("h", "root").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by(F.struct("root", "m"), F.struct("m", "root")).alias("t"))
+    sizes = sizes.select("h", F.col("t.root").alias("top"), F.col("t.m").alias("size"))
+    first = Window.partitionBy("h").orderBy(F.desc("share"), F.xxhash64("did"), "did")
+    tops = entries.join(sizes, "h").where("root = top").join(central, "did").withColumn("at", F.row_number().over(first) - 1)
+    tops = tops.where(F.pmod(F.col("at") - turn * centres, F.col("size")) < centres)
+    tops = tops.select("h", F.col("did").alias("did2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), "top")
+    alike = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+    near = entries.join(tops, "h").where((F.col("root") != F.col("top")) & alike)
     counted = near.groupBy("did", "did2").agg(F.count("*").alias("m"), F.max("n").alias("n"), F.min("pos").alias("pos"))
     # Likely ones only: the rest is left to the last round, which is exact.
-    counted = counted.where((F.col("pos") < 0) | (5 * F.col("m") >= _posted(F.col("n"), percent)))
-    return counted.groupBy("did").agg(F.max_by("did2", F.struct("m", "did2")).alias("b")).select(F.col("did").alias("a"), "b")
+    counted = counted.where((F.col("pos") < 0) | (10 * F.col("m") >= _posted(F.col("n"), percent)))
+    best = Window.partitionBy("did").orderBy(F.desc("m"), "did2")
+    return counted.withColumn("at", F.row_number().over(best)).where(F.col("at") <= partners).select(F.col("did").alias("a"), F.col("did2").alias("b"))
 
 
 def _all_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Every pair of classes in different components that can link.
 
     Pairs form between the classes outside a list's largest component and all others there, where the
-    bounds allow it: the join itself drops the rest. Then what the posted prefixes of a pair share is
-    counted; past the end of the prefix that ends first, at most the rest of that set can be shared:
-    pairs whose count can't make up the overlap go."""
+    bounds allow it: the join itself drops the rest."""
     top = entries.groupBy("h", "root").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("root", F.struct("m", "root")).alias("top"))
     minor = entries.join(top, "h").where("root <> top").drop("top")
-    others = entries.select(F.col("h").alias("h2"), F.col("did").alias("did2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"))
+    others = entries.join(top, "h").select(F.col("h").alias("h2"), F.col("did").alias("did2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"), (F.col("root") != F.col("top")).alias("minor2"))
     alike = (F.col("pos") < 0) == (F.col("pos2") < 0)
-    near = minor.join(others, (F.col("h") == F.col("h2")) & (F.col("root") != F.col("root2")) & alike & _can_link(percent))
-    swap = F.col("did") > F.col("did2")
-    first = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    near = near.select(first("did", "did2").alias("a"), first("did2", "did").alias("b"), first("n", "n2").alias("n"), first("n2", "n").alias("n2"), "pos")
-    some = near.groupBy("a", "b", "n", "n2").agg(F.min("pos").alias("pos"))
-    prefix = entries.where("pos >= 0").groupBy("did").agg(F.collect_set("h").alias("hs"))
-    side = lambda c: prefix.select(F.col("did").alias(c), F.col("hs").alias(f"hs_{c}"))
-    some = some.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    both = F.coalesce(F.size(F.array_intersect("hs_a", "hs_b")), F.lit(0))
-    rest = F.greatest(F.col("n") - _posted(F.col("n"), percent), F.col("n2") - _posted(F.col("n2"), percent))
-    enough = (100 + percent) * (both + rest) >= percent * (F.col("n") + F.col("n2"))
-    return some.where((F.col("pos") < 0) | enough).select("a", "b")
+    # Two classes outside the largest component meet once, not twice.
+    once = ~F.col("minor2") | (F.col("did") < F.col("did2"))
+    near = minor.join(others, (F.col("h") == F.col("h2")) & (F.col("root") != F.col("root2")) & alike & once & _can_link(percent))
+    return near.select(F.least("did", "did2").alias("a"), F.greatest("did", "did2").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, columns: list[str], **options) -> DataFrame:

@@ -15,11 +15,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from veridelta.llm.common import WordHashes, map_arrow, rolling
+from veridelta.llm.common import WordHashes, kept, map_arrow, rolling
 
-#: n-gram length in words -> greatest share of word characters inside repeated n-grams.
-NGRAM_LIMITS = {5: 0.25, 6: 0.22, 8: 0.20, 10: 0.20}
-LINE_LIMIT = 0.30
+#: n-gram length in words -> greatest share of word characters inside repeated n-grams, and of
+#: characters in repeated lines: the published limits of Rae et al. 2021 (arXiv 2112.11446, A1.1).
+NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+LINE_LIMIT = 0.20
 _BLANK, _SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, dup_line_share double, dup_ngram_share double"
@@ -60,7 +61,7 @@ def measure(text: str | None, hashes: WordHashes, min_words: int, ngram_limits:
     repeated = int(base.sum())
     failed = n < min_words or 100 * repeated > 20 * n
     line_share, worst, kept = dup_chars / max(chars, 1), 0.0, not failed
-    if repeated:
+    if repeated or min(ngram_limits, default=5) < 5:
         sizes = np.fromiter(map(len, words), np.int64, n)
         total = max(int(sizes.sum()), 1)
         for width, limit in ngram_limits.items():
@@ -73,12 +74,10 @@ def measure(text: str | None, hashes: WordHashes, min_words: int, ngram_limits:
 def assess(docs: DataFrame, min_words: int = 10, ngram_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
     """The counts, shares and verdict of each document (see SCHEMA)."""
     limits = dict(NGRAM_LIMITS if ngram_limits is None else ngram_limits)
-    hashes: list[WordHashes] = []
 
     def run(batch):
-        if not hashes:
-            hashes.append(WordHashes())
-        rows = [measure(x.as_py(), hashes[0], min_words, limits, line_limit) for x in batch.column("text")]
+        hashes = kept(__name__).setdefault("hashes", WordHashes())
+        rows = [measure(x.as_py(), hashes, min_words, limits, line_limit) for x in batch.column("text")]
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "dup_line_share", "dup_ngram_share")
         return {"doc_id": batch.column("doc_id"), **dict(zip(names, zip(*rows, strict=True), strict=True))}
 
@@ -90,14 +89,13 @@ def keep(docs: DataFrame, columns: list[str], **options) -> DataFrame:
     the rows are read, without a shuffle."""
     schema = docs.select(*columns).schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    limits = dict(options.get("ngram_limits") or NGRAM_LIMITS)
+    limits = options.get("ngram_limits")
+    limits = dict(NGRAM_LIMITS if limits is None else limits)
     least, lines = options.get("min_words", 10), options.get("line_limit", LINE_LIMIT)
-    hashes: list[WordHashes] = []
 
     def run(batch):
-        if not hashes:
-            hashes.append(WordHashes())
-        mask = [measure(x.as_py(), hashes[0], least, limits, lines)[6] for x in batch.column("text")]
+        hashes = kept(__name__).setdefault("hashes", WordHashes())
+        mask = [measure(x.as_py(), hashes, least, limits, lines)[6] for x in batch.column("text")]
         import pyarrow as pa
 
         left = batch.filter(pa.array(mask, pa.bool_()))
