@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from veridelta.llm import ngram_jaccard as nj
 
 
@@ -61,8 +63,30 @@ def test_odd_rows(spark):
 
 
 def test_keep_one(spark):
-    docs = spark.createDataFrame([(2, "a b c"), (1, "a b c"), (3, "d")], "doc_id long, text string")
-    assert sorted(r.doc_id for r in nj.keep_one(docs, ["doc_id", "text"]).collect()) == [1, 3]
+    rows = [(2, "a b c"), (1, "a b c"), (1, "a b c"), (3, "d"), (None, "a b c"), (None, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [tuple(r) for r in nj.keep_one(docs, ["doc_id", "text"]).collect()]
+    assert sorted(found, key=str) == sorted([(1, "a b c"), (3, "d"), (None, "a b c"), (None, None), (4, None)], key=str)
+
+
+def test_common_order_is_total():
+    rng = np.random.default_rng(0)
+    h = np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64))
+    rank = rng.integers(0, 3, len(h))
+    key = nj.mixed(h) >> np.uint64(24)
+    assert (nj._rarest(h, rank) == np.lexsort((h, key, rank))).all()
+
+
+def test_boundary_follows_list_lengths():
+    lists = lambda length: {n: (10, 10 * length * (n - nj.need(n, 75) + 1)) for n in range(1, 13)}
+    bounds = [nj.boundary(75, lists(x)) for x in (2, 20, 2000)]
+    assert bounds == sorted(bounds) and bounds[0] < bounds[-1]
+
+
+def test_very_long_text(spark):
+    words = " ".join(f"w{i}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, words), (2, words + " end"), (3, "w1 " + words)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in nj.link(docs).collect()) == [(1, 59_996, 1), (2, 59_997, 1), (3, 59_997, 1)]
 
 
 def test_small_sets_share_a_subset():

@@ -167,18 +167,29 @@ def _heavy(survey: DataFrame, least: int, max_heavy: int) -> tuple[np.ndarray, n
     return h[order], c[order]
 
 
+def _rarest(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Positions in the common order: by rank, then by a mix of the hash, then by the hash."""
+    key = mixed(s)
+    short = (np.minimum(rank, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (key >> np.uint64(24))
+    order = np.argsort(short)
+    in_order = short[order]
+    # Equal short keys are a matter of chance; then the whole key decides.
+    return order if (in_order[1:] != in_order[:-1]).all() else np.lexsort((s, key >> np.uint64(24), short >> np.uint64(40)))
+
+
 def _postings(docs: DataFrame, width: int, percent: int, small: int, heavy) -> DataFrame:
-    """h, did, n, pos: entries of the inverted lists; subsets have pos -1."""
+    """h, did, n, pos, own: entries of the inverted lists; subsets have pos -1. own is the number of
+    posted shingles of the class that aren't known to repeat."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(heavy)
-    schema = "h long, did long, n int, pos int"
+    schema = "h long, did long, n int, pos int, own int"
     target = pa_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         known, counts = shared.value
         for batch in batches:
-            hs, dids, ns, ats = [], [], [], []
+            hs, dids, ns, ats, owns = [], [], [], [], []
             for text in batch.column("text"):
                 s = shingles(text.as_py(), width)
                 n = len(s)
@@ -192,22 +203,22 @@ def _postings(docs: DataFrame, width: int, percent: int, small: int, heavy) -> D
                     signs = [rolling(np.array(x, np.uint64), m) for m in subset_sizes(n, percent) for x in combinations(s.tolist(), m)]
                     hs.extend(signs)
                     ats.append(np.full(len(signs), -1, np.int32))
-                p = 0
+                p, own = 0, n
                 if n > small or n * 100 // percent > small:
                     p = n - need(n, percent) + 1
-                    key = mixed(s)
+                    rank = np.zeros(n, np.int64)
                     if len(known):
                         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                         rank = np.where(known[at] == s, counts[at], 0)
-                        first = np.lexsort((key, rank))[:p]
-                    else:
-                        first = np.argsort(key)[:p]
+                    first = _rarest(s, rank)[:p]
+                    own = int((rank[first] == 0).sum())
                     hs.append(s[first])
                     ats.append(np.arange(p, dtype=np.int32))
                 dids.append(np.full(len(signs) + p, did, np.int64))
                 ns.append(np.full(len(signs) + p, n, np.int32))
+                owns.append(np.full(len(signs) + p, own, np.int32))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(dids)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(ats))], schema=target)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(dids)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(ats)), pa.array(np.concatenate(owns))], schema=target)
 
         give_back()
 
@@ -223,13 +234,14 @@ def _can_link(percent: int):
     return (100 * least >= percent * most) & ((F.col("pos") < 0) | (F.col("pos2") < 0) | ((100 + percent) * overlap >= percent * (n + n2)))
 
 
-def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, block: int = 64, stream: int = 1000) -> DataFrame:
+def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, block: int = 64, stream: int = 1000, few: int = 500_000) -> DataFrame:
     """Those pairs (a, b) of classes that link, by their whole sets.
 
     Centres b are dealt into blocks of about ``block``. The set of a travels once to each block that
     holds partners of it, with their names; so many partners in a block cost one journey. A block
     with many members is split into streams, each of which gets the block's centres first."""
-    n_blocks = max(1, pairs.select("b").distinct().count() // block + 1)
+    n_members, n_centres = pairs.agg(F.count_distinct("a"), F.count_distinct("b")).collect()[0]
+    n_blocks = n_centres // block + 1
     placed = pairs.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(n_blocks)))
     members = placed.groupBy("a", "block").agg(F.collect_set("b").alias("bs"))
     sizes = members.groupBy("block").agg(F.ceil(F.count("*") / stream).alias("salts"))
@@ -238,7 +250,11 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, perc
     centres = centres.select(F.col("b").alias("did"), "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.array().cast("array<long>").alias("bs"))
     jobs = members.unionByName(centres).groupBy("did").agg(F.collect_list(F.struct("block", "salt", "role", "bs")).alias("jobs"))
     asked = jobs.join(reps.select("did", "doc_id"), "did")
-    rows = docs.select("doc_id", "text").join(asked, "doc_id")
+    docs = docs.select("doc_id", "text")
+    if n_centres + n_members <= few:
+        # Few ids, 8 bytes each, go to every task, so that only the texts asked for are shuffled.
+        docs = docs.join(F.broadcast(pairs.select(F.col("a").alias("did")).union(pairs.select("b")).distinct().join(reps, "did").select("doc_id")), "doc_id", "left_semi")
+    rows = docs.join(asked, "doc_id")
     schema = "block long, salt long, role int, did long, bs array<long>, shingles binary"
     target = pa_schema(schema)
 
@@ -308,7 +324,7 @@ def components(edges: DataFrame, base: str, name: str) -> DataFrame:
     return edges.select(F.col("a").alias("did"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
-def link(docs: DataFrame, width: int = 5, percent: int = 75, least_heavy: int = 6, max_heavy: int = 1_000_000, partners: int = 6, gain: float = 0.02) -> DataFrame:
+def link(docs: DataFrame, width: int = 5, percent: int = 75, least_heavy: int = 6, max_heavy: int = 1_000_000, partners: int = 6, gain: float = 0.1) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs. Star rounds end when less than the
     share ``gain`` of the pairs they verify are links; the exact round follows in any case."""
     spark = docs.sparkSession
@@ -320,7 +336,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75, least_heavy: int =
     reps = sketch.where("did is not null and doc_id is not null").groupBy("did").agg(F.min("doc_id").alias("doc_id"))
     heavy = _heavy(survey, least_heavy, max_heavy)
     small = boundary(percent, _scanned(survey, percent, heavy))
-    entries = stored(_lists(_postings(docs.where("doc_id is not null"), width, percent, small, heavy)), base, "entries-0")
+    entries = stored(_lists(_postings(docs.where("doc_id is not null"), width, percent, small, heavy), percent), base, "entries-0")
     labels, edges, turn, star = None, None, 0, True
     while True:
         pairs = stored(_stars(entries, percent, partners, turn) if star else _all_pairs(entries, percent), base, f"pairs-{turn}")
@@ -336,7 +352,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75, least_heavy: int =
         star = links > gain * asked
         if links:
             # Components only grow: a list that holds one alone is done with.
-            entries = stored(_open_lists(entries, labels), base, f"entries-{turn + 1}")
+            entries = stored(_open_lists(entries, labels, percent), base, f"entries-{turn + 1}")
             discard(spark, base, f"entries-{turn}")
         turn += 1
     roots = reps.withColumn("root", F.col("did")) if labels is None else reps.join(labels, "did", "left").withColumn("root", F.coalesce("root", "did"))
@@ -347,19 +363,27 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75, least_heavy: int =
     return out.select("doc_id", F.col("n").alias("n_shingles"), whole.alias("component_id"))
 
 
-def _lists(posted: DataFrame) -> DataFrame:
-    """The inverted lists of two classes or more: h, did, n, pos, root (of no component yet)."""
-    each = Window.partitionBy("h")
-    lists = posted.withColumns({"lo": F.min("did").over(each), "hi": F.max("did").over(each)}).where("lo <> hi")
-    return lists.select("h", "did", "n", "pos", F.col("did").alias("root")).distinct()
+def _lists(posted: DataFrame, percent: int) -> DataFrame:
+    """The inverted lists of two classes or more: h, did, n, pos, own, root (of no component yet)."""
+    return _in_reach(posted.withColumn("root", F.col("did")), percent).dropDuplicates(["h", "did"])
 
 
-def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+def _open_lists(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Entries of the lists that still hold two components or more."""
-    entries = lists.drop("root").join(labels, "did", "left").withColumn("root", F.coalesce("root", "did"))
-    each = Window.partitionBy("h")
-    entries = entries.withColumns({"lo": F.min("root").over(each), "hi": F.max("root").over(each)}).where("lo <> hi")
-    return entries.select("h", "did", "n", "pos", "root")
+    return _in_reach(lists.drop("root").join(labels, "did", "left").withColumn("root", F.coalesce("root", "did")), percent)
+
+
+def _in_reach(entries: DataFrame, percent: int) -> DataFrame:
+    """Entries that can have a partner: their list holds several components, and the next smaller or
+    the next greater set there is within the bounds on size and, for the greater, position."""
+    by_size = Window.partitionBy("h").orderBy("n")
+    whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n, below, above = F.col("n"), F.lag("n").over(by_size), F.lead("n").over(by_size)
+    # overlap / (n + above - overlap) >= percent / 100, with an overlap of n - pos at most
+    most = F.when(F.col("pos") < 0, n).otherwise(n - F.col("pos"))
+    near = (100 * below >= percent * n) | ((100 * n >= percent * above) & ((100 + percent) * most >= percent * (n + above)))
+    marked = entries.withColumns({"lo": F.min("root").over(whole), "hi": F.max("root").over(whole), "near": near})
+    return marked.where("lo <> hi and near").select("h", "did", "n", "pos", "own", "root")
 
 
 def _posted(n, percent: int):
@@ -370,15 +394,13 @@ def _stars(entries: DataFrame, percent: int, partners: int, turn: int, centres:
     """Pairs of a class (a) and a class of another component (b), at most ``partners`` for each a.
 
     A list offers as centres the most central classes of its largest component, in each round the
-    next few: those of whose posted shingles the greatest share stands in lists of several components,
-    so that they hold little of their own. The order is the same in all lists, so the lists that two
-    classes share offer the same centres, and how often a class meets one tells how alike they are."""
-    central = entries.groupBy("did", "n").agg(F.count("*").alias("k"))
-    central = central.select("did", F.round(F.col("k") / _posted(F.col("n"), percent), 3).alias("share"))
+    next few: those that hold the least of their own, that is of shingles not known to repeat. The
+    order is the same in all lists, so the lists that two classes share offer the same centres, and
+    how often a class meets one tells how alike they are."""
     sizes = entries.groupBy("h", "root").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by(F.struct("root", "m"), F.struct("m", "root")).alias("t"))
     sizes = sizes.select("h", F.col("t.root").alias("top"), F.col("t.m").alias("size"))
-    first = Window.partitionBy("h").orderBy(F.desc("share"), F.xxhash64("did"), "did")
-    tops = entries.join(sizes, "h").where("root = top").join(central, "did").withColumn("at", F.row_number().over(first) - 1)
+    first = Window.partitionBy("h").orderBy((F.col("own") / F.col("n")).asc(), F.xxhash64("did"), "did")
+    tops = entries.join(sizes, "h").where("root = top").withColumn("at", F.row_number().over(first) - 1)
     tops = tops.where(F.pmod(F.col("at") - turn * centres, F.col("size")) < centres)
     tops = tops.select("h", F.col("did").alias("did2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), "top")
     alike = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
@@ -406,7 +428,12 @@ def _all_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, columns: list[str], **options) -> DataFrame:
-    """The given columns of one document of each component: that of the smallest doc_id."""
+    """The given columns of one document of each component: that of the smallest doc_id. Of rows with
+    equal doc_id and text one stays. Rows with null doc_id are linked with nothing: all of them stay."""
     linked = link(docs, **options)
-    kept = linked.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*columns)
+    # An id counts once for each of its texts in the component it names.
+    ids = linked.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    rows = docs.join(stored(ids, shared_dir(docs.sparkSession), "kept"), "doc_id")
+    once = rows.where("_rows = 1").select(*columns)
+    again = rows.where("_rows > 1").dropDuplicates(["doc_id", "text"]).select(*columns)
+    return once.unionByName(again).unionByName(docs.where("doc_id is null").select(*columns))
