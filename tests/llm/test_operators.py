@@ -82,22 +82,51 @@ def test_quality_against_brute_force(spark):
 # ---- toxicity -------------------------------------------------------------------------------
 
 
+def brute_cosines(index, rows, text):
+    """Cosine with every example over the whole vocabulary, from the texts alone."""
+
+    def vector(t):
+        counts = {}
+        for word in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            for term in toxicity.terms_of(word):
+                if term in index.vocabulary:
+                    counts[term] = counts.get(term, 0) + 1
+        w = {x: (1 + math.log(c)) * index.weight[index.vocabulary[x]] for x, c in counts.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {x: y / norm for x, y in w.items()}
+
+    q = vector(text)
+    found = {i: sum(y * q.get(x, 0.0) for x, y in vector(t).items()) for i, t, _ in rows}
+    return sorted(((-round(c, 9), i) for i, c in found.items() if c > 0))[: index.k]
+
+
 def test_nearest_is_exact():
     rng = random.Random(5)
-    vocab = [f"w{c}{d}" for c in "abcdefgh" for d in "xyz"]
-    rows = [(i, " ".join(rng.choice(vocab) for _ in range(12)) + (" insultword" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
-    index = toxicity.build(rows, 0.25, alpha=1e9, max_df=1.0, block=8)
-    assert "insultword" in index.vocabulary
-    for _, text, _ in rows[:60]:
-        vector = index.vector(text)
-        assert len(vector) > 5
-        at, cosines = index.nearest(vector)
-        dense = np.zeros(len(index.idf))
-        for t, w in vector:
-            dense[t] = w
-        want = np.sort(index.rows @ dense)[::-1][: index.k]
-        assert np.allclose(cosines, want[: len(cosines)]) and len(cosines) == min(index.k, int((index.rows @ dense > 0).sum()))
-    assert index.score("an insultword here")[0] > 0.5 > index.score("nothing")[0]
+    vocab = [f"w{c}{d}" for c in "abcdefgh" for d in "xyz"] + [f"rare{c}" * 2 for c in "abcdefghijkl"]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 30))) + (" insultword" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
+    rows += [(1000 + i, rows[7][1], rows[7][2]) for i in range(30)]  # equal cosines: the smaller doc_id
+    for block in (8, 64):
+        index = toxicity.build(rows, 0.25, max_df=1.0, block=block)
+        assert "insultword" in index.vocabulary and "<insu" in index.vocabulary
+        for text in [r[1] for r in rows[:80]] + ["wax wbx unseen", "insultword"]:
+            at, cosines = index.nearest(*index.vector(text, {}))
+            assert [(-round(c, 9), i) for c, i in zip(cosines, index.ids[at], strict=True)] == brute_cosines(index, rows, text)
+    assert index.score("an insultword here", {})[0] > 0.5 > index.score("nothing", {})[0]
+    assert index.score("wax " * 300_000, {})[0] < 0.5
+
+
+def test_nearest_on_documents(spark):
+    """All terms stay but function words: every text with a word has evidence, a copy is nearest."""
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
+    rows = [(r.doc_id, r.text, r.toxic) for r in known.where("toxic is not null and text is not null").collect()]
+    index = toxicity.build(rows, 0.1)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").collect()]
+    worded = [t for t in texts if re.search(r"[^\W\d_]", t)]
+    assert sum(not index.score(t, {})[1] for t in worded) < 0.05 * len(worded)
+    for _, text, _ in rows[::25]:
+        at, cosines = index.nearest(*index.vector(text, {}))
+        assert [(-round(c, 9), i) for c, i in zip(cosines, index.ids[at], strict=True)] == brute_cosines(index, rows, text)
+        assert abs(cosines[0] - 1) < 1e-9
 
 
 def test_toxicity_held_out(spark):
@@ -113,6 +142,7 @@ def test_toxicity_odd_rows(spark):
     index = toxicity.learn(table, labels)
     got = toxicity.score(table, index).collect()
     assert len(got) == 4 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert toxicity.score(table.limit(0), index).count() == 0
     assert toxicity.learn(table, labels.limit(0)) is None and {r.score for r in toxicity.score(table, None).collect()} == {0.0}
 
 

@@ -1,23 +1,32 @@
 """Toxicity by nearest labelled examples under TF-IDF cosine.
 
 A bounded sample of labelled documents (whole texts) is indexed: at most ``max_toxic`` and
-``max_clean``, those of the least hash of doc_id. Terms are runs of letters, lower-cased, and the
-character n-grams of these words with marks at their ends (insults are inflected); the
-vocabulary holds terms in a share of ``min_df`` to ``max_df`` of the examples whose
-chi-squared against the label passes a threshold corrected for the number of terms.
-
-The index is inverted and cut into blocks of examples; for each term it keeps the greatest weight
-in each block. A query adds up those maxima into an upper bound for each block, then scores blocks
-exactly, greatest bound first, until no bound can reach the k-th best: exact cosine neighbours.
-
-Neighbours vote with weight 1 / (1.02 - cosine). A logistic curve fitted on the examples' own
-leave-one-out votes, weighted to the label rates of all labelled rows, makes votes probabilities.
-Texts without a vocabulary term have no neighbours: their score is the rate among such examples.
-The evidence is the neighbours' doc_ids, nearest first; ties go to the smaller doc_id.
+``max_clean``, those of the least hash of doc_id, and ``max_chars`` characters in all (a document that
+would pass that bound is left out). Terms are runs of letters, lower-cased, and their
+beginnings of 4 and 5 letters, as insults are inflected. All terms are indexed but those of fewer than
+``min_df`` examples and those of more than the share ``max_df`` of the clean ones (function words).
+
+A term's weight is (1 + ln count) * idf * relevance; relevance is ``floor`` for every term, plus what
+its chi-squared against the label (near copies counted once) exceeds the greatest that chance would
+give among so many terms, divided by the number of examples. So a text with telling terms is compared
+by these, and one without is compared by all its words. Vectors are L2-normalised.
+
+The index is inverted: for each term, its examples with their weights, cut into blocks of examples,
+and the greatest weight in each block. A query adds those maxima up into a bound for every block,
+scores the blocks of the greatest bounds exactly, then all blocks whose bound reaches the k-th best
+so far: exact cosine neighbours. Examples with like terms stand side by side, which makes bounds tight.
+
+Neighbours vote with weight 1 / (1.02 - cosine) - 1 / 1.02, which is 0 for nothing in common; so a
+text that shares one telling word with toxic examples, but little else, is nearer to none of them than
+they are to one another, and its votes weigh less. A logistic curve of the votes' log odds, fitted on the examples' own
+votes, near copies of the example left out, weighted to the label rates of all labelled rows, makes
+votes probabilities. Texts without a known term have no neighbours: their score is the rate among
+such examples. The evidence is the neighbours' doc_ids, nearest first; ties go to the smaller doc_id.
 
 Null and empty texts have no terms. A document with several labels is toxic if one says so; null
-labels teach nothing; without any label the score is 0. Nulls in doc_id stay null; repeated rows
-give repeated results; other columns are not read; an empty table gives an empty table.
+labels teach nothing; without any label the score is 0. Of several texts under one doc_id the least is
+the example. Nulls in doc_id stay null; repeated rows give repeated results; other columns are not
+read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,159 +35,182 @@ import math
 import re
 import zlib
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridelta.llm.common import crc_mod, map_arrow
+from veridelta.llm.common import crc_mod, kept, map_arrow
 
 _words = re.compile(r"[^\W\d_]+").findall
-GRAMS = (4, 5)
+STARTS = (4, 5)
 
 
 def terms_of(word: str) -> list[str]:
-    marked = f"<{word}>"
-    return [word, *(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))]
-
-
-def _terms(text: str | None) -> set[str]:
-    out: set[str] = set()
-    for word in set(_words((text or "").lower())):
-        out.update(terms_of(word))
-    return out
+    """A word, and its beginnings, marked as such."""
+    return [word, *(f"<{word[:n]}" for n in STARTS if len(word) >= n)]
 
 
 @dataclass
 class Index:
     vocabulary: dict[str, int]
-    idf: np.ndarray
+    weight: np.ndarray  # idf * relevance of each term
     k: int
+    block: int
     ids: np.ndarray  # doc_id of each example that has terms
     toxic: np.ndarray
-    rows: np.ndarray  # examples x terms, L2-normalised; row blocks of ``block``
-    block: int
-    maxima: np.ndarray  # terms x blocks
+    group: np.ndarray  # near copies have one number
+    first: np.ndarray  # of each term: its first entry; entries are (term, block) pairs
+    blocks: np.ndarray  # of each entry: the block
+    maxima: np.ndarray  # of each entry: the greatest weight
+    start: np.ndarray  # of each entry: its first posting
+    example: np.ndarray  # of each posting
+    value: np.ndarray  # of each posting
     slope: float = 1.0
     shift: float = 0.0
     without: float = 0.0
-    cache: dict = field(default_factory=dict)
-    words: dict = field(default_factory=dict)
-
-    def vector(self, text: str | None) -> tuple[tuple[int, float], ...]:
-        known, counts, ids_of = self.vocabulary, Counter(), self.words.get
-        if len(self.words) > 500_000:
-            self.words.clear()
-        for word in _words((text or "").lower()):
-            ids = ids_of(word)
-            if ids is None:
-                ids = self.words[word] = tuple(known[t] for t in set(terms_of(word)) if t in known)
-            if ids:
-                counts.update(ids)
-        if not counts:
-            return ()
-        weights = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        norm = math.sqrt(math.fsum(w * w for w in weights.values()))
-        return tuple((t, w / norm) for t, w in weights.items())
-
-    def nearest(self, vector, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples; skip leaves one out."""
-        terms, weights = np.array([t for t, _ in vector]), np.array([w for _, w in vector])
-        bounds = weights @ self.maxima[terms]
-        best_at, best = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == self.k and bounds[b] < best[-1] - 1e-12:
-                break
-            at = np.arange(b * self.block, min((b + 1) * self.block, len(self.ids)))
-            scores = self.rows[at][:, terms] @ weights
-            hit = (scores > 0) & (at != skip)
-            at, scores = np.concatenate([best_at, at[hit]]), np.concatenate([best, scores[hit]])
-            order = np.lexsort((self.ids[at], -np.round(scores, 12)))[: self.k]
-            best_at, best = at[order], scores[order]
-        return best_at, best
-
-    def vote(self, vector, skip: int = -1) -> tuple[float | None, np.ndarray]:
-        at, cosines = self.nearest(vector, skip) if vector else (np.empty(0, np.int64), None)
+
+    def vector(self, text: str | None, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers, in order, and their L2-normalised weights."""
+        known, ids, times = self.vocabulary, [], []
+        if len(cache) > 200_000:
+            cache.clear()
+        for word, n in Counter(_words((text or "").lower())).items():
+            found = cache.get(word)
+            if found is None:
+                found = cache[word] = tuple(known[t] for t in terms_of(word) if t in known)
+            ids.extend(found)
+            times.extend([n] * len(found))
+        if not ids:
+            return np.empty(0, np.int64), np.empty(0)
+        terms, back = np.unique(np.array(ids, np.int64), return_inverse=True)
+        counts = np.bincount(back, weights=times)
+        w = (1 + np.log(counts)) * self.weight[terms]
+        return terms, w / math.sqrt(float((w * w).sum()))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, skip: np.ndarray | None = None, ahead: int = 3) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and cosines of the k nearest examples; those of the mask ``skip`` take no part."""
+        entries, back = _ranges(self.first[terms], self.first[terms + 1])
+        w, of = weights[back], self.blocks[entries]
+        bounds = np.bincount(of, w * self.maxima[entries], minlength=1)
+        first = np.zeros(len(bounds), bool)
+        first[np.argpartition(-bounds, min(ahead, len(bounds) - 1))[:ahead]] = True
+        scores = np.zeros(len(self.ids))
+        self._add(scores, entries, w, first[of])
+        best = self._best(scores, skip)
+        last = scores[best[-1]] if len(best) == self.k else 0.0
+        rest = ~first & (bounds > 0) & (bounds >= last - 1e-12)
+        if rest.any():
+            self._add(scores, entries, w, rest[of])
+            best = self._best(scores, skip)
+        return best, scores[best]
+
+    def _add(self, scores: np.ndarray, entries: np.ndarray, w: np.ndarray, chosen: np.ndarray) -> None:
+        at = entries[chosen]
+        postings, back = _ranges(self.start[at], self.start[at + 1])
+        scores += np.bincount(self.example[postings], w[chosen][back] * self.value[postings], minlength=len(scores))
+
+    def _best(self, scores: np.ndarray, skip: np.ndarray | None) -> np.ndarray:
+        at = np.flatnonzero(scores > 0 if skip is None else (scores > 0) & ~skip)
+        found = scores[at]
+        if len(at) > self.k:
+            at = at[found >= np.partition(found, len(at) - self.k)[len(at) - self.k] - 1e-11]
+        rounded = np.round(scores[at], 12)
+        return at[np.lexsort((self.ids[at], -rounded))[: self.k]]
+
+    def vote(self, terms: np.ndarray, weights: np.ndarray, skip: np.ndarray | None = None) -> tuple[float | None, np.ndarray]:
+        """Log of the odds of the neighbours' votes, and their positions."""
+        at, cosines = self.nearest(terms, weights, skip) if len(terms) else (np.empty(0, np.int64), None)
         if not len(at):
             return None, at
-        w = 1 / (1.02 - np.minimum(cosines, 1))
-        return float((w * self.toxic[at]).sum() / w.sum()), at
-
-    def score(self, text: str | None) -> tuple[float, list[int]]:
-        vector = self.vector(text)
-        found = self.cache.get(vector)
-        if found is None:
-            if len(self.cache) > 100_000:
-                self.cache.clear()
-            share, at = self.vote(vector)
-            p = self.without if share is None else 1 / (1 + math.exp(-(self.slope * share + self.shift)))
-            found = self.cache[vector] = (p, self.ids[at].tolist())
-        return found
-
-
-def _once(rows: list[tuple[int, str, int]], rare: float = 0.01) -> list[tuple[int, str, int]]:
-    """One example of each group of near copies, so that a group's own words don't look like signs
-    of its label: an example goes if any of four min-hashes of its rare terms was met before."""
-    sets = [set(_words((r[1] or "").lower())) for r in rows]
+        w = 1 / (1.02 - np.minimum(cosines, 1)) - 1 / 1.02
+        toxic = float((w * self.toxic[at]).sum())
+        return math.log((toxic + 1) / (float(w.sum()) - toxic + 1)), at
+
+    def score(self, text: str | None, cache: dict) -> tuple[float, list[int]]:
+        odds, at = self.vote(*self.vector(text, cache))
+        p = self.without if odds is None else 1 / (1 + math.exp(-(self.slope * odds + self.shift)))
+        return p, self.ids[at].tolist()
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges [low, high), and the range of each."""
+    sizes = high - low
+    ends = np.cumsum(sizes)
+    back = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(back)) + np.repeat(low - ends + sizes, sizes), back
+
+
+def _groups(sets: list[set[str]], labels: np.ndarray, rare: float = 0.01) -> np.ndarray:
+    """A number for each example, equal for near copies under one label, so that a group's own words
+    don't look like signs of its label: an example joins the first with which it shares any of four
+    min-hashes of its rare words."""
     df = Counter(t for s in sets for t in s)
-    met: set[tuple] = set()
-    out = []
-    for row, terms in zip(rows, sets, strict=True):
-        few = [t.encode() for t in terms if df[t] <= max(2, rare * len(rows))]
-        marks = {(i, row[2], min(zlib.crc32(t, i) for t in few)) for i in range(4)} if few else set()
-        if not marks & met:
-            out.append(row)
-        met |= marks
+    met: dict[tuple, int] = {}
+    out = np.arange(len(sets))
+    for i, words in enumerate(sets):
+        few = [t.encode() for t in words if df[t] <= max(2, rare * len(sets))]
+        marks = [(j, int(labels[i]), min(zlib.crc32(t, j) for t in few)) for j in range(4)] if few else []
+        out[i] = min([met[m] for m in marks if m in met], default=i)
+        for m in marks:
+            met.setdefault(m, int(out[i]))
     return out
 
 
-def build(rows: list[tuple[int, str, int]], rate: float, k: int = 15, min_df: float = 0.004, max_df: float = 0.25, alpha: float = 0.1, block: int = 64) -> Index | None:
+def build(rows: list[tuple[int, str, int]], rate: float, k: int = 15, min_df: int = 2, max_df: float = 0.05, floor: float = 0.01, block: int = 64) -> Index | None:
     """rows: (doc_id, text, toxic). rate: the share of toxic among all labelled rows."""
-    rows = _once(sorted(rows, key=lambda r: r[0]))
+    rows = sorted(rows, key=lambda r: r[0])
     if not rows:
         return None
     label = np.array([r[2] for r in rows])
-    df, hits = Counter(), Counter()
-    for _, text, y in rows:
-        seen = _terms(text)
+    sets = [set(_words((r[1] or "").lower())) for r in rows]
+    group = _groups(sets, label)
+    one = np.flatnonzero(group == np.arange(len(rows)))
+    df, clean, once, hits = Counter(), Counter(), Counter(), Counter()
+    for i, words in enumerate(sets):
+        seen = {t for word in words for t in terms_of(word)}
         df.update(seen)
-        if y:
-            hits.update(seen)
-    n, pos = len(rows), int(label.sum())
-    usual = {t: d for t, d in df.items() if max(3, min_df * n) <= d <= max(3, max_df * n)}
-    # The normal quantile of alpha / terms, squared, is the chi-squared limit (1 degree of freedom).
-    z = math.sqrt(2 * math.log(max(1.0, len(usual) / alpha)))
-
-    def chi2(t: str) -> float:
-        a, d = hits[t], usual[t]
-        e = d * pos / n
-        var = e * (1 - pos / n) * (1 - d / n) * n / max(1, n - 1)
-        return (a - e) ** 2 / var if var > 0 else 0.0
-
-    chosen = sorted(t for t in usual if chi2(t) > z * z)
+        if not label[i]:
+            clean.update(seen)
+        if group[i] == i:
+            once.update(seen)
+            if label[i]:
+                hits.update(seen)
+    n, n_clean = len(rows), int((label == 0).sum())
+    chosen = sorted(t for t, d in df.items() if d >= min(min_df, n) and clean[t] <= max(3, max_df * n_clean))
     vocabulary = {t: i for i, t in enumerate(chosen)}
-    idf = np.array([math.log((1 + n) / (1 + usual[t])) + 1 for t in chosen])
-    index = Index(vocabulary, idf, k, np.empty(0, np.int64), np.empty(0), np.zeros((0, len(chosen))), block, np.zeros((len(chosen), 0)))
-    vectors = [index.vector(r[1]) for r in rows]
-    has = [i for i, v in enumerate(vectors) if v]
-    # Examples with like terms side by side make block maxima tight.
-    has.sort(key=lambda i: (max(vectors[i], key=lambda x: x[1])[0], len(vectors[i]), rows[i][0]))
-    index.ids, index.toxic = np.array([rows[i][0] for i in has], np.int64), label[has].astype(float)
-    index.rows = np.zeros((len(has), len(chosen)))
-    for at, i in enumerate(has):
-        for t, w in vectors[i]:
-            index.rows[at, t] = w
-    blocks = [index.rows[b : b + block].max(0) for b in range(0, len(has), block)]
-    index.maxima = np.stack(blocks, 1) if blocks else np.zeros((len(chosen), 0))
-    weight = np.where(label == 1, rate / max(pos / n, 1e-9), (1 - rate) / max(1 - pos / n, 1e-9))
-    out = [i for i in range(n) if not vectors[i]]
+    m, pos = len(one), int(label[one].sum())
+    d, a = np.array([once[t] for t in chosen], float), np.array([hits[t] for t in chosen], float)
+    var = d * (pos / m) * (1 - pos / m) * (1 - d / m) * m / max(1, m - 1)
+    chi2 = np.divide((a - d * pos / m) ** 2, var, out=np.zeros(len(chosen)), where=var > 0)
+    # The greatest of so many chi-squareds (1 degree of freedom) is about 2 ln(terms) by chance.
+    relevance = floor + np.maximum(0, chi2 - 2 * math.log(max(2, len(chosen)))) / m
+    idf = np.array([math.log((1 + n) / (1 + df[t])) + 1 for t in chosen])
+    none, zero = np.empty(0, np.int64), np.zeros(len(chosen) + 1, np.int64)
+    index = Index(vocabulary, idf * relevance, k, block, none, np.empty(0), none, zero, none, np.empty(0), np.zeros(1, np.int64), none, np.empty(0))
+    cache: dict = {}
+    vectors = [index.vector(r[1], cache) for r in rows]
+    has = [i for i, (terms, _) in enumerate(vectors) if len(terms)]
+    has.sort(key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), int(group[i]), rows[i][0]))
+    index.ids, index.toxic, index.group = np.array([rows[i][0] for i in has], np.int64), label[has].astype(float), group[has]
+    if has:
+        term = np.concatenate([vectors[i][0] for i in has])
+        example = np.repeat(np.arange(len(has)), [len(vectors[i][0]) for i in has])
+        order = np.lexsort((example, term))
+        term, example, value = term[order], example[order], np.concatenate([vectors[i][1] for i in has])[order]
+        new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (example[1:] // block != example[:-1] // block)]))
+        index.first, index.blocks = np.searchsorted(term[new], np.arange(len(chosen) + 1)), example[new] // block
+        index.maxima, index.start = np.maximum.reduceat(value, new), np.append(new, len(term))
+        index.example, index.value = example, value
+    weight = np.where(label == 1, rate / max(label.mean(), 1e-9), (1 - rate) / max(1 - label.mean(), 1e-9))
+    out = [i for i in range(n) if not len(vectors[i][0])]
     index.without = float((weight[out] * label[out]).sum() / max(weight[out].sum(), 1e-9)) if out else rate
     votes, ys, ws = [], [], []
-    for at, i in enumerate(has):
-        share, _ = index.vote(vectors[i], at)
-        if share is not None:
-            votes.append(share)
+    for i in has:
+        odds, _ = index.vote(*vectors[i], index.group == group[i])
+        if odds is not None:
+            votes.append(odds)
             ys.append(label[i])
             ws.append(weight[i])
     if votes:
@@ -199,7 +231,7 @@ def _fit(index: Index, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
     index.slope, index.shift = float(beta[0]), float(beta[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, max_toxic: int = 1500, max_clean: int = 3000, **options) -> Index | None:
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, max_toxic: int = 1500, max_clean: int = 3000, max_chars: int = 50_000_000, **options) -> Index | None:
     """Learn from labelled documents outside fold 0."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(crc_mod("doc_id", folds) != 0)
     counts = {r["toxic"]: r["count"] for r in known.groupBy((F.col("toxic") == 1).cast("int").alias("toxic")).count().collect()}
@@ -207,16 +239,29 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, max_toxic: int = 1
         return None
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = known.where("toxic = 1").orderBy(*order).limit(max_toxic).union(known.where("toxic <> 1").orderBy(*order).limit(max_clean))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.col("toxic").cast("int")).collect()
-    return build([(r[0], r[1], int(r[2] == 1)) for r in rows], counts.get(1, 0) / sum(counts.values()), **options)
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    sizes = rows.groupBy("doc_id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n")).orderBy(*order).collect()
+    chosen, room = [], max_chars
+    for r in sizes:
+        if r["n"] <= room:
+            room -= r["n"]
+            chosen.append((r["doc_id"],))
+    few = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long"))
+    rows = rows.join(few, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    return build([(r["doc_id"], r["text"], int(r["toxic"] == 1)) for r in rows], counts.get(1, 0) / sum(counts.values()), **options)
 
 
 def score(docs: DataFrame, index: Index | None) -> DataFrame:
     """doc_id, score, predicted, evidence of each whole text."""
     schema = "doc_id long, score double, predicted int, evidence array<long>"
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batch):
-        found = [index.score(x.as_py()) if index else (0.0, []) for x in batch.column("text")]
+        index, cache = shared.value, kept(__name__).setdefault("terms", {})
+        if kept(__name__).get("of") is not index:  # another index numbers its terms otherwise
+            cache.clear()
+            kept(__name__)["of"] = index
+        found = [index.score(x.as_py(), cache) if index else (0.0, []) for x in batch.column("text")]
         p = [x[0] for x in found]
         return {"doc_id": batch.column("doc_id"), "score": p, "predicted": [int(x >= 0.5) for x in p], "evidence": [x[1] for x in found]}
 
