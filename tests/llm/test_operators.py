@@ -4,6 +4,7 @@ import re
 import textwrap
 import zlib
 from collections import Counter
+from decimal import Decimal, localcontext
 from pathlib import Path
 
 import duckdb
@@ -161,7 +162,6 @@ def test_lattice_against_all_segmentations():
 
     for word in ("a", "ab", "aab", "bbab", "é", "abé"):
         assert math.isclose(lattice.log_probability(word), math.log(total("▁" + word)), rel_tol=1e-9)
-        assert math.isclose(lattice._log_forward("▁" + word), math.log(total("▁" + word)), rel_tol=1e-9)
         counts = {}
         lattice.expect(word, 1.0, counts)
         # Every segmentation spells the word: expected lengths add up to the word's own bytes.
@@ -170,6 +170,40 @@ def test_lattice_against_all_segmentations():
     assert lattice.log_probability("ab" * 5000) < -1000
 
 
+def test_lattice_against_exact_sums_of_any_length():
+    """Marginals of the real vocabulary in 60-digit arithmetic, from the end of the word."""
+    p = lm_scoring.vocabulary()
+    lattice, rng = lm_scoring.Lattice(p), random.Random(8)
+    longest = max(map(len, p))
+    with localcontext() as context:
+        context.prec = 60
+        for n in [*range(1, 40), 63, 64, 65, 128, 200]:
+            word = "".join(rng.choice("etaoinshrdluéß中😀<9") for _ in range(n))
+            s = "▁" + word
+            rest = [Decimal(0)] * len(s) + [Decimal(1)]
+            for i in range(len(s) - 1, -1, -1):
+                rest[i] = math.prod((Decimal(p[f"\x00{b:02X}"]) for b in s[i].encode()), start=Decimal(1)) * rest[i + 1]
+                rest[i] += sum(Decimal(p[s[i:j]]) * rest[j] for j in range(i + 1, min(len(s), i + longest) + 1) if s[i:j] in p)
+            assert math.isclose(lattice.log_probability(word), float(rest[0].ln()), rel_tol=1e-9)
+            counts = {}
+            lattice.expect(word, 2.0, counts)
+            spelt = sum(x * (1 if k[0] == "\x00" else len(k.encode())) for k, x in counts.items())
+            assert math.isclose(spelt, 2 * len(s.encode()), rel_tol=1e-6)
+
+
+def test_documents_add_up_their_words(spark):
+    rows = [(1, "The cat  sat", None, None), (2, None, None, None), (3, "x" * 500 + "\tq", None, None)]
+    p = lm_scoring.vocabulary()
+    lattice = lm_scoring.Lattice(p)
+    for rounds in (0, 1):
+        got = {r.doc_id: r.score for r in lm_scoring.score(docs(spark, rows), docs(spark, rows), rounds=rounds).collect()}
+        if not rounds:
+            for i, text, *_ in rows:
+                want = sum(lattice.log_probability(w.decode()) for w in words_of(text)) + math.log(p[lm_scoring.END])
+                assert math.isclose(got[i], want / math.log(10), rel_tol=1e-9)
+        assert got[1] < got[2] < 0
+
+
 @pytest.mark.parametrize("hot", [5, 10**6])
 def test_base_against_brute_force(spark, hot):
     rng = random.Random(6)
