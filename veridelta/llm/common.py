@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What one Arrow batch carries to Python at most: rows, and bytes where texts are long.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
