@@ -2,6 +2,7 @@ import math
 import random
 import re
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter
 from decimal import Decimal, localcontext
@@ -11,6 +12,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from veridelta.llm import ann, chat_format, langid, license_scan, lm_scoring, mixing, quality, queries, toxicity
 from veridelta.llm.common import WordHashes, words_of
@@ -46,6 +48,35 @@ def test_language_odd_rows(spark):
     assert langid.keep(table, ["doc_id", "text"], model).count() == 5
 
 
+FOREIGN = {
+    "Turkish": "İnsanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "Polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Russian": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "Chinese": "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+    "noise": "xq7 zzkw pljf qqv vvbx kjh ghjk wqx zxcv bnmq rtgf plmok njiu hbvg ytfc xdrz eswa qzwx",
+}
+
+
+def test_language_rejection(spark):
+    """Foreign text goes; at most one in a hundred held-out documents does. Long texts take little memory."""
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.learn(table)
+    assert not any(model.decide(t)[2] for t in FOREIGN.values())
+    got = langid.predict(table, model).withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    got = got.where("held_out and lang_pred <> 'und'").groupBy("accepted").count().collect()
+    counts = {r.accepted: r["count"] for r in got}
+    assert counts.get(False, 0) <= 0.01 * counts[True]
+    text = table.where("lang = 'en'").first().text
+    long = (text + " ") * (20_000_000 // len(text))
+    tracemalloc.start()
+    lang, p, accepted = model.decide(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (lang, accepted) == ("en", True) and peak < 300e6
+    ids = langid.features(text)
+    assert (langid.bucket_counts(text, 100) == np.bincount(ids, minlength=langid.BUCKETS)).all()
+
+
 # ---- quality --------------------------------------------------------------------------------
 
 

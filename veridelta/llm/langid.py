@@ -3,9 +3,11 @@
 The lower-cased text is taken as UTF-8; every ASCII byte that isn't a letter is a word boundary.
 The byte n-grams of each word, its boundaries included, are hashed to rows of the embedding table.
 A text is the mean of its rows, and a linear layer maps that mean to the languages. Both are trained by stochastic gradient descent in
-numpy, on pieces of the sampled texts. A temperature fitted on texts kept from training calibrates
-the probabilities; ``threshold`` is the confidence under which a prediction is rejected, set so
-that at most one in ``lost`` rightly predicted validation texts would go.
+numpy, on pieces of the sampled texts. A temperature fitted on pieces of texts kept from training, of
+all lengths, calibrates the probabilities. A prediction is rejected if its calibrated probability is
+under ``least``, so rather wrong than right, or if the text is like none of the languages: its typicality, the mean
+log frequency of its n-grams in training, is less than that of all but ``lost`` of kept pieces of
+its length, by a margin of half their distance from the median (where 50 kept texts are so long).
 
 Training takes at most ``per_language`` labelled documents of a language and ``max_sample`` in all
 (those of the least hash of doc_id): a bounded sample of whole texts. Prediction reads whole texts.
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from veridelta.llm.common import crc_mod, map_arrow
 
 BUCKETS, DIM, GRAMS = 1 << 15, 8, (2, 3, 4)
+#: Lengths in words of the pieces that calibrate.
+PIECES = (3, 12, 50, 200)
 _any_letter = regex.compile(r"\p{L}").search
 _BYTES = np.array([x if 97 <= x <= 122 or x >= 128 else 32 for x in range(256)], np.uint8)
 
@@ -63,17 +67,36 @@ class Model:
     temperature: float
     threshold: float
     accuracy: float
+    usual: np.ndarray  # log frequency of each bucket in training
+    sizes: np.ndarray  # numbers of n-grams, and the least typicality of accepted texts of each
+    floors: np.ndarray
 
+    def typical(self, typicality: float, n: int) -> bool:
+        return bool(typicality >= np.interp(np.log(n), np.log(self.sizes), self.floors)) if len(self.sizes) else True
 
     def decide(self, text: str | None) -> tuple[str, float, bool]:
         if not text or not _any_letter(text):
             return "und", 0.0, False
-        ids = features(text)
-        if not len(ids):
+        counts = bucket_counts(text)
+        n = int(counts.sum())
+        if not n:
             return "und", 0.0, False
-        p = _softmax((self.logits[ids].mean(0) + self.bias) / self.temperature)
+        p = _softmax((counts @ self.logits / n + self.bias) / self.temperature)
         best = int(p.argmax())
-        return self.languages[best], float(p[best]), bool(p[best] >= self.threshold)
+        return self.languages[best], float(p[best]), bool(p[best] >= self.threshold) and self.typical(float(counts @ self.usual / n), n)
+
+
+def bucket_counts(text: str, step: int = 1 << 20) -> np.ndarray:
+    """How often each bucket occurs in a whole text, read in steps that end between words: memory
+    doesn't grow with the text."""
+    counts, at = np.zeros(BUCKETS), 0
+    while at < len(text):
+        end = at + step
+        while end < len(text) and not (text[end] < "\x80" and not text[end].isalpha()):
+            end += 1
+        counts += np.bincount(features(text[at:end]), minlength=BUCKETS)
+        at = end
+    return counts
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -93,7 +116,7 @@ def _bags(texts: list[str], size: int, rng: np.random.Generator) -> tuple[list[n
     return bags, np.array(owner, np.int64)
 
 
-def train(rows: list[tuple[int, str, str]], epochs: int = 2, rate: float = 4.0, piece: int = 400, seed: int = 7, lost: int = 1000) -> Model | None:
+def train(rows: list[tuple[int, str, str]], epochs: int = 2, rate: float = 4.0, piece: int = 400, seed: int = 7, least: float = 0.5, lost: float = 0.001) -> Model | None:
     """rows: (doc_id, text, lang). One in six documents, by crc32, calibrates."""
     rows = sorted((r for r in rows if r[1]), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     languages = sorted({r[2] for r in rows})
@@ -126,22 +149,41 @@ def train(rows: list[tuple[int, str, str]], epochs: int = 2, rate: float = 4.0,
             bias -= lr * p.mean(0) * 0.1
             np.add.at(table, ids, -lr * np.repeat(back, sizes, axis=0))
             done += len(batch)
-    model = Model(languages, (table @ weight.T).astype(np.float32), bias, 1.0, 0.0, 0.0)
-    z, y = [], []
+    seen = np.zeros(BUCKETS)
+    for ids in bags:
+        seen += np.bincount(ids, minlength=BUCKETS)
+    usual = np.log((seen + 0.5) / (seen.sum() + 0.5 * BUCKETS))
+    model = Model(languages, (table @ weight.T).astype(np.float32), bias, 1.0, least, 0.0, usual, np.empty(0), np.empty(0))
+    z, y, whole, likeness = [], [], [], {}
     for _, text, lang in check:
         ids = features(text)
-        if len(ids):
-            z.append(model.logits[ids].mean(0) + bias)
-            y.append(number[lang])
+        if not len(ids):
+            continue
+        # The whole text, and pieces of so many words from some place of it.
+        words = text.split()
+        for size in (*PIECES, len(words)):
+            if size > len(words):
+                continue
+            start = int(rng.integers(0, len(words) - size + 1))
+            ids = features(" ".join(words[start : start + size]))
+            if len(ids):
+                z.append(model.logits[ids].mean(0) + bias)
+                y.append(number[lang])
+                whole.append(size == len(words))
+                if size in PIECES:
+                    likeness.setdefault(size, []).append((len(ids), usual[ids].mean()))
     if z:
-        z, y = np.array(z), np.array(y)
+        z, y, whole = np.array(z), np.array(y), np.array(whole)
         nll = lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean()
         model.temperature = float(min(np.geomspace(0.05, 5, 60), key=nll))
-        p = _softmax(z / model.temperature)
-        right = np.sort(p.max(1)[p.argmax(1) == y])
-        model.accuracy = len(right) / len(y)
-        if len(right):
-            model.threshold = float(min(0.4, right[len(right) // lost] * 0.8))
+        model.accuracy = float((z[whole].argmax(1) == y[whole]).mean()) if whole.any() else 0.0
+        spots = []
+        for found in (x for x in likeness.values() if len(x) >= 50):
+            n, t = np.array(found).T
+            low, middle = np.quantile(t, [lost, 0.5])
+            spots.append((np.median(n), low - 0.5 * (middle - low)))
+        if spots:
+            model.sizes, model.floors = np.array(sorted(spots)).T
     return model
 
 
