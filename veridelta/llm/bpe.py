@@ -50,7 +50,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """bytes -> token ids, one byte at a time. ``max_states`` bounds the memory."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 40_000):
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.prefixes = {token[:i] for token in ranks for i in range(len(token) + 1)}
@@ -129,7 +129,7 @@ class Transducer:
                 ranks[at - 1] = get(parts[at - 1] + parts[at])
 
     def _valid(self, pair: tuple[int, int]) -> bool:
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > 400_000:
             self.pairs.clear()
         left, right = pair
         known = self.pairs[pair] = left < 0 or self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
@@ -243,7 +243,7 @@ class Encoder(dict):
     default pattern, so texts are first cut there; texts with other white space around spaces, and
     other patterns, go through the pattern as a whole."""
 
-    def __init__(self, path: str, pattern: str, bound: int = 600_000):
+    def __init__(self, path: str, pattern: str, bound: int = 200_000):
         super().__init__()
         self.machine = Transducer(load_ranks(path))
         self.find = regex.compile(pattern).findall
@@ -376,7 +376,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
         enc = encoder(path, pattern)
         return {"doc_id": batch.column("doc_id"), "ids": [enc.encode(x or "").astype(np.int32) for x in batch.column("text").to_pylist()]}
 
-    return map_arrow(docs.select("doc_id", "text"), "doc_id long, ids array<int>", run)
+    return map_arrow(docs.select("doc_id", "text"), "doc_id long, ids array<int>", run, keep=True)
 
 
 def decode(tokens: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -387,7 +387,7 @@ def decode(tokens: DataFrame, path: str | None = None, pattern: str | None = Non
         dec = _decoder(encoder(path, pattern))
         return {"doc_id": batch.column("doc_id"), "text": [dec.decode(x or ()) for x in batch.column("ids").to_pylist()]}
 
-    return map_arrow(tokens.select("doc_id", "ids"), "doc_id long, text string", run)
+    return map_arrow(tokens.select("doc_id", "ids"), "doc_id long, text string", run, keep=True)
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -411,4 +411,4 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
                 kept.append(ids.astype(np.int32))
         return {"ids": kept, "doc_id": batch.column("doc_id"), "n_tokens": sizes, "ids_sha256": ids_sha, "decoded_sha256": text_sha, "n_bytes": lengths}
 
-    return map_arrow(docs.select("doc_id", "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long" + ", ids array<int>" * with_ids, run)
+    return map_arrow(docs.select("doc_id", "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long" + ", ids array<int>" * with_ids, run, keep=True)

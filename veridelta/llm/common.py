@@ -111,15 +111,18 @@ def crc_of(value) -> int:
     return zlib.crc32(str(value).encode())
 
 
-def map_arrow(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], Iterable[dict | pa.RecordBatch]]) -> DataFrame:
-    """mapInArrow with a function from one batch to one dict of columns (or None)."""
+def map_arrow(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], Iterable[dict | pa.RecordBatch]], keep: bool = False) -> DataFrame:
+    """mapInArrow with a function from one batch to one dict of columns (or None). What the operator
+    has kept in the worker goes with the task, unless it is dear to make again (keep)."""
     target, owner = pa_schema(schema, df.sparkSession), fn.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept(owner)
+        state = kept(owner)
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in target], schema=target)
+        if not keep:
+            state.clear()
         give_back()
 
     return df.mapInArrow(run, schema)

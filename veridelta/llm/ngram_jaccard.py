@@ -44,6 +44,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,16 +131,16 @@ def _survey(docs: DataFrame, width: int, flush: int = 2_000_000) -> DataFrame:
             none = pa.nulls(len(ns), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(dids, pa.int64()), pa.array(few, pa.list_(pa.int64())), none, none], schema=target)
         yield shared()
+        kept(__name__).clear()
         give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _scanned(survey: DataFrame, percent: int, heavy) -> dict[int, tuple[int, int]]:
+def _scanned(survey: DataFrame, percent: int, shared: Broadcast) -> dict[int, tuple[int, int]]:
     """For each size of small sets: how many, and the entries that their posted shingles would post
     and scan, list lengths taken from the table of heavy shingles."""
     small = survey.where("few is not null").groupBy("did").agg(F.any_value("few").alias("few"))
-    shared = survey.sparkSession.sparkContext.broadcast(heavy)
 
     def work(batch):
         known, counts = shared.value
@@ -177,11 +178,9 @@ def _rarest(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return order if (in_order[1:] != in_order[:-1]).all() else np.lexsort((s, key >> np.uint64(24), short >> np.uint64(40)))
 
 
-def _postings(docs: DataFrame, width: int, percent: int, small: int, heavy) -> DataFrame:
+def _postings(docs: DataFrame, width: int, percent: int, small: int, shared: Broadcast) -> DataFrame:
     """h, did, n, pos, own: entries of the inverted lists; subsets have pos -1. own is the number of
     posted shingles of the class that aren't known to repeat."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(heavy)
     schema = "h long, did long, n int, pos int, own int"
     target = pa_schema(schema)
 
@@ -220,6 +219,7 @@ def _postings(docs: DataFrame, width: int, percent: int, small: int, heavy) -> D
             if hs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(dids)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(ats)), pa.array(np.concatenate(owns))], schema=target)
 
+        kept(__name__).clear()
         give_back()
 
     return docs.select("text").mapInArrow(run, schema)
@@ -275,6 +275,8 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, perc
                         yield made(out)
                         out, size = tuple([] for _ in target), 0
             yield made(out)
+        kept(__name__).clear()
+        give_back()
 
     found = pa_schema("a long, b long")
 
@@ -298,6 +300,8 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, perc
                             a.append(did)
                             b.append(partner)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=found)
+        centres.clear()
+        give_back()
 
     sets = rows.select("text", "did", "jobs").mapInArrow(expand, schema)
     return sets.repartition("block", "salt").sortWithinPartitions("block", "salt", "role").mapInArrow(compare, "a long, b long")
@@ -334,9 +338,10 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75, least_heavy: int =
     survey = stored(_survey(docs, width), base, "survey")
     sketch = survey.where("h is null").select("doc_id", "n", "did")
     reps = sketch.where("did is not null and doc_id is not null").groupBy("did").agg(F.min("doc_id").alias("doc_id"))
-    heavy = _heavy(survey, least_heavy, max_heavy)
+    heavy = spark.sparkContext.broadcast(_heavy(survey, least_heavy, max_heavy))
     small = boundary(percent, _scanned(survey, percent, heavy))
     entries = stored(_lists(_postings(docs.where("doc_id is not null"), width, percent, small, heavy), percent), base, "entries-0")
+    heavy.unpersist()
     labels, edges, turn, star = None, None, 0, True
     while True:
         pairs = stored(_stars(entries, percent, partners, turn) if star else _all_pairs(entries, percent), base, f"pairs-{turn}")

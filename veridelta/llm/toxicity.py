@@ -258,9 +258,6 @@ def score(docs: DataFrame, index: Index | None) -> DataFrame:
 
     def run(batch):
         index, cache = shared.value, kept(__name__).setdefault("terms", {})
-        if kept(__name__).get("of") is not index:  # another index numbers its terms otherwise
-            cache.clear()
-            kept(__name__)["of"] = index
         found = [index.score(x.as_py(), cache) if index else (0.0, []) for x in batch.column("text")]
         p = [x[0] for x in found]
         return {"doc_id": batch.column("doc_id"), "score": p, "predicted": [int(x >= 0.5) for x in p], "evidence": [x[1] for x in found]}
