@@ -77,6 +77,15 @@ def test_common_order_is_total():
     assert (nj._rarest(h, rank) == np.lexsort((h, key, rank))).all()
 
 
+def test_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(1)
+    for n in (1, 50, 3000, 20_000):
+        h = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        other = np.unique(np.concatenate([h[n // 4 :], rng.integers(0, 1 << 63, n // 5, dtype=np.uint64)]))
+        bits = sum(int(x).bit_count() for x in (nj.parities(h) ^ nj.parities(other)).view(np.uint64))
+        assert bits <= len(np.setxor1d(h, other)) and (nj.parities(h) == nj.parities(h[::-1])).all()
+
+
 def test_boundary_follows_list_lengths():
     lists = lambda length: {n: (10, 10 * length * (n - nj.need(n, 75) + 1)) for n in range(1, 13)}
     bounds = [nj.boundary(75, lists(x)) for x in (2, 20, 2000)]

@@ -23,7 +23,8 @@ largest component, drawn anew by a hash, and every class outside it is verified
 meets most often: at most ``partners`` of them. Star rounds go on while they find links, so a group
 of near copies joins at a cost in proportion to its size. The last round is exact: every remaining
 pair of classes in different components that can link is verified. Pairs inside a component aren't
-formed. A pair is formed only if set sizes and positions in the lists leave it possible.
+formed. A pair is formed only if set sizes and positions in the lists leave it possible, and its sets
+are compared only if their parity sketches do: their Hamming distance is at most the symmetric difference.
 Members meet their centre in salted streams sorted with the centre first: nothing gathers a group
 in memory.
 
@@ -52,6 +53,8 @@ from veridelta.llm.common import WordHashes, bounded_batches, commonest, discard
 
 #: Greatest size of sets that may list subsets: a set of 12 has 924 subsets of 6.
 MOST_SMALL = 12
+#: Bits of a parity sketch.
+SKETCH = 2048
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -81,6 +84,13 @@ def subset_sizes(n: int, percent: int) -> list[int]:
     return sorted({need(x, percent) for x in range(n, n * 100 // percent + 1)})
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """Bit i of the sketch: whether an odd number of hashes falls into bucket i. A shingle that only
+    one of two sets holds changes one bit, so sketches differ in at most as many bits as sets do."""
+    odd = np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def boundary(percent: int, scanned: dict[int, tuple[int, int]]) -> int:
     """The greatest set size that enumerates subsets. scanned: for each small size the number of
     sets, and the entries they would post or scan in inverted lists."""
@@ -96,9 +106,9 @@ def boundary(percent: int, scanned: dict[int, tuple[int, int]]) -> int:
 
 def _survey(docs: DataFrame, width: int, flush: int = 2_000_000) -> DataFrame:
     """One reading of all texts. Rows with h null: doc_id, n, did, the set size and class of every
-    document, and the set itself of small ones. Rows with h: a shingle that two or more different
+    document, its sketch, and the set itself of small ones. Rows with h: a shingle that two or more different
     texts of one task's share hold, and in how many (c)."""
-    schema = "doc_id long, n long, did long, few array<long>, h long, c long"
+    schema = "doc_id long, n long, did long, sketch array<long>, few array<long>, h long, c long"
     target = pa_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,14 +121,15 @@ def _survey(docs: DataFrame, width: int, flush: int = 2_000_000) -> DataFrame:
             h, c = h[first[c > 1]], c[c > 1]
             none = pa.nulls(len(h), pa.int64())
             few = pa.nulls(len(h), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([none, none, none, few, pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], schema=target)
+            return pa.RecordBatch.from_arrays([none, none, none, few, few, pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], schema=target)
 
         for batch in batches:
-            ns, dids, few = [], [], []
+            ns, dids, sketches, few = [], [], [], []
             for text in batch.column("text"):
                 s = shingles(text.as_py(), width)
                 ns.append(len(s))
                 dids.append(digest(s) if len(s) else None)
+                sketches.append(parities(s) if len(s) else None)
                 few.append(s.view(np.int64) if 0 < len(s) <= MOST_SMALL else None)
                 if len(s) and dids[-1] not in seen:
                     if len(seen) < 100_000:
@@ -129,7 +140,7 @@ def _survey(docs: DataFrame, width: int, flush: int = 2_000_000) -> DataFrame:
                         yield shared()
                         parts, size = [], 0
             none = pa.nulls(len(ns), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(dids, pa.int64()), pa.array(few, pa.list_(pa.int64())), none, none], schema=target)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(dids, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (sketches, few)), none, none], schema=target)
         yield shared()
         kept(__name__).clear()
         give_back()
@@ -234,6 +245,14 @@ def _can_link(percent: int):
     return (100 * least >= percent * most) & ((F.col("pos") < 0) | (F.col("pos2") < 0) | ((100 + percent) * overlap >= percent * (n + n2)))
 
 
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those pairs whose sketches differ in no more bits than linked sets of their sizes can."""
+    side = lambda c: sketches.select(F.col("did").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("n").alias(f"n_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return both.where((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, block: int = 64, stream: int = 1000, few: int = 500_000) -> DataFrame:
     """Those pairs (a, b) of classes that link, by their whole sets.
 
@@ -337,7 +356,9 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75, least_heavy: int =
     docs = docs.select("doc_id", "text")
     survey = stored(_survey(docs, width), base, "survey")
     sketch = survey.where("h is null").select("doc_id", "n", "did")
-    reps = sketch.where("did is not null and doc_id is not null").groupBy("did").agg(F.min("doc_id").alias("doc_id"))
+    rows = survey.where("did is not null and doc_id is not null")
+    reps = rows.groupBy("did").agg(F.min("doc_id").alias("doc_id"))
+    sketches = stored(rows.groupBy("did").agg(F.any_value("sketch").alias("sketch"), F.any_value("n").alias("n")), base, "sketches")
     heavy = spark.sparkContext.broadcast(_heavy(survey, least_heavy, max_heavy))
     small = boundary(percent, _scanned(survey, percent, heavy))
     entries = stored(_lists(_postings(docs.where("doc_id is not null"), width, percent, small, heavy), percent), base, "entries-0")
@@ -346,9 +367,10 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75, least_heavy: int =
     while True:
         pairs = stored(_stars(entries, percent, partners, turn) if star else _all_pairs(entries, percent), base, f"pairs-{turn}")
         asked = pairs.count()
-        found = stored(_verify(pairs, reps, docs, width, percent), base, f"links-{turn}") if asked else None
-        discard(spark, base, f"pairs-{turn}")
-        links = found.count() if asked else 0
+        near = stored(_near(pairs, sketches, percent), base, f"near-{turn}")
+        found = None if near.isEmpty() else stored(_verify(near, reps, docs, width, percent), base, f"links-{turn}")
+        discard(spark, base, f"pairs-{turn}", f"near-{turn}")
+        links = found.count() if found is not None else 0
         if links:
             edges = found if edges is None else edges.union(found)
             labels = components(edges, base, f"labels-{turn}")
