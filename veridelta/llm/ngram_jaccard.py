@@ -53,7 +53,7 @@ from veridelta.llm.common import WordHashes, bounded_batches, commonest, discard
 
 #: Greatest size of sets that may list subsets: a set of 12 has 924 subsets of 6.
 MOST_SMALL = 12
-#: Bits of a parity sketch.
+#: Bits of the parity sketch of sets of up to half as many shingles.
 SKETCH = 2048
 
 
@@ -86,8 +86,10 @@ def subset_sizes(n: int, percent: int) -> list[int]:
 
 def parities(h: np.ndarray) -> np.ndarray:
     """Bit i of the sketch: whether an odd number of hashes falls into bucket i. A shingle that only
-    one of two sets holds changes one bit, so sketches differ in at most as many bits as sets do."""
-    odd = np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    one of two sets holds changes one bit, so sketches differ in at most as many bits as sets do.
+    There are twice as many buckets as hashes or more; halves of a sketch combine to a smaller one."""
+    buckets = SKETCH << ((len(h) - 1) * 2 // SKETCH).bit_length()
+    odd = np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -249,7 +251,13 @@ def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Those pairs whose sketches differ in no more bits than linked sets of their sizes can."""
     side = lambda c: sketches.select(F.col("did").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("n").alias(f"n_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    xor = lambda x, y: x.bitwiseXOR(y)
+    half = lambda c: (F.size(c) / 2).cast("int")
+    folded = lambda c: F.zip_with(F.slice(c, F.lit(1), half(c)), F.slice(c, half(c) + 1, half(c)), xor)
+    for _ in range((-(-100 // percent)).bit_length()):  # linked sets differ in size by that factor at most
+        greater = {c: F.when(F.size(c) > F.size(other), folded(c)).otherwise(F.col(c)) for c, other in (("sketch_a", "sketch_b"), ("sketch_b", "sketch_a"))}
+        both = both.withColumns(greater)
+    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda t, x: t + x)
     return both.where((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
