@@ -1,6 +1,6 @@
 """Command line: compare two folders or files, print a summary, optionally write a bundle.
 
-Exit codes: 0 done, 2 bad arguments, 3 missing input, 4 write refused.
+Exit codes: 0 done, 1 bad arguments, 2 missing input, 3 write refused, 4 the comparison failed.
 """
 
 from __future__ import annotations
@@ -29,17 +29,28 @@ def main(argv: list[str] | None = None) -> int:
     try:
         args = build().parse_args(argv)
     except SystemExit as e:
-        return 0 if e.code == 0 else 2
+        return 0 if e.code == 0 else 1
     if not 0 <= args.low <= args.match <= 1 or args.window < 0 or args.first < 0:
         print("thresholds must satisfy 0 <= low <= match <= 1; window and first must not be negative", file=sys.stderr)
-        return 2
+        return 1
     for path in (args.candidate, args.baseline):
         if not os.path.exists(path):
             print(f"no such file: {path}", file=sys.stderr)
-            return 3
+            return 2
     if args.output and not args.allow_write:
         print("--output needs --allow-write", file=sys.stderr)
+        return 3
+    try:
+        return run(args)
+    except FileExistsError as e:
+        print(f"exists: {e}", file=sys.stderr)
+        return 3
+    except Exception as e:  # the last resort of a command: say what failed
+        print(f"comparison failed: {e}", file=sys.stderr)
         return 4
+
+
+def run(args: argparse.Namespace) -> int:
     from pyspark.sql import SparkSession
 
     from veridelta.plans import compare, report
@@ -53,11 +64,7 @@ def main(argv: list[str] | None = None) -> int:
     for r in found.orderBy("seq").limit(args.first).collect():
         print(f"{r['evidence_id']} [{r['severity']}] {r['message']}")
     if args.output:
-        try:
-            report.write_bundle(found, args.output, {"candidate": args.candidate, "baseline": args.baseline}, True, args.overwrite)
-        except FileExistsError as e:
-            print(f"exists: {e}", file=sys.stderr)
-            return 4
+        report.write_bundle(found, args.output, {"candidate": args.candidate, "baseline": args.baseline}, True, args.overwrite)
     return 0
 
 

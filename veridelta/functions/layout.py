@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veridelta.functions.text import _col, count_similarity
+from veridelta.functions.text import _col, count_similarity, strip
 
 # Words that tell what an unmatched page is likely to be.
 TOC_WORD = "目录"
@@ -51,7 +51,7 @@ def page_kind_severity(kind: Column | str) -> Column:
 
 def ocr_reason(text: Column | str, n_blocks: Column | str, least: int = 20) -> Column:
     """Why a page needs OCR, or ''."""
-    size = F.length(F.trim(_col(text)))
+    size = F.length(strip(text))
     return F.when(size == 0, "empty_native_text").when(size < least, "native_text_below_min_length").when(_col(n_blocks) == 0, "no_native_text_blocks").otherwise("")
 
 
@@ -111,7 +111,7 @@ def image_similarity(box_a, box_b, width_a, width_b, height_a, height_b, ext_a,
 
 def table_like(text: Column | str) -> Column:
     """At least two lines that hold a tab or three parts between double blanks."""
-    lines = F.filter(F.transform(F.split(_col(text), r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.split(_col(text), r"\r\n|\n|\r"), lambda x: strip(x) != "")
     parts = lambda x: F.size(F.filter(F.split(x, "  "), lambda p: F.trim(p) != ""))
     return F.size(F.filter(lines, lambda x: F.contains(x, F.lit("\t")) | (parts(x) >= 3))) >= 2
 
@@ -125,7 +125,7 @@ def table_rows(text: Column | str) -> Column:
 
 def normalized_cells(cells: Column | str) -> Column:
     """Nulls are '', blanks trimmed."""
-    return F.transform(_col(cells), lambda row: F.transform(row, lambda c: F.trim(F.coalesce(c, F.lit("")))))
+    return F.transform(_col(cells), lambda row: F.transform(row, lambda c: strip(F.coalesce(c, F.lit("")))))
 
 
 def cells_shape(cells: Column | str) -> Column:

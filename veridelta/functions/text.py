@@ -30,6 +30,11 @@ def collapse_space(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(text), SPACE, " "))
 
 
+def strip(text: Column | str) -> Column:
+    """White space of any kind goes from both ends."""
+    return F.regexp_replace(_col(text), f"^{SPACE}|{SPACE}$", "")
+
+
 def normalize_cell(value: Column | str) -> Column:
     """Text of a table cell: null is '', white space is collapsed."""
     return collapse_space(F.coalesce(_col(value).cast("string"), F.lit("")))

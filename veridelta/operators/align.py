@@ -50,7 +50,7 @@ def fingerprints(pages: DataFrame, elements: DataFrame) -> DataFrame:
     return out.select(
         *KEY, "page_number", "normalized_text", signature("normalized_text").alias("text_signature"), tokens("normalized_text").alias("tokens"),
         F.coalesce(counts, F.map_from_arrays(none, F.array().cast("array<int>"))).alias("type_counts"), table_text.alias("table_text"), signature(table_text).alias("table_text_signature"), heads.alias("headings"),
-        F.length("normalized_text").alias("text_length"), ((F.trim(plain) == "") & F.coalesce("_only_blank", F.lit(True))).alias("is_blank"),
+        F.length("normalized_text").alias("text_length"), ((collapse_space(plain) == "") & F.coalesce("_only_blank", F.lit(True))).alias("is_blank"),
     )
 
 

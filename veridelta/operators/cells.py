@@ -44,6 +44,15 @@ def attach_lineage(df: DataFrame, source_file, page=None, table=None, order: Seq
     return df.withColumns({"_source_file": as_col(source_file, "string"), "_source_page": as_col(page, "int"), "_source_table": as_col(table, "int"), "_source_row": row})
 
 
+def prepared(df: DataFrame, keys: Sequence[str], order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """A table as its cells are compared: names trimmed, nulls of every column taking the value above
+    them (in the given order, within ``by``), keys as normalised text; the order columns go. A table
+    without ``by`` is filled in one task: name its parts (files, pages, tables) for large inputs."""
+    out = df.toDF(*(c.strip() for c in df.columns))
+    out = forward_fill(out, [c for c in out.columns if c not in (*order, *by)], order, by)
+    return out.withColumns({k: normalize_cell(k) for k in keys if k in out.columns}).drop(*order)
+
+
 def visible_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.strip() and c.strip() not in LINEAGE]
 
@@ -73,8 +82,9 @@ def join_rows(base: DataFrame, scan: DataFrame, keys: Sequence[str]) -> DataFram
     return joined.select(*(F.coalesce(f"base_{k}", f"scan_{k}").alias(k) for k in keys), "base", "scan", status.alias("merge_status"))
 
 
-def compare_cells(base: DataFrame, scan: DataFrame, key_columns: Sequence[str], max_distance: int = 1, numeric_columns: Sequence[str] | None = None, numeric_tolerance: str = "0.01", with_row_index: bool = True) -> DataFrame:
-    """Differing cells of two keyed tables.
+def compare_cells(base: DataFrame, scan: DataFrame, key_columns: Sequence[str], max_distance: int = 1, numeric_columns: Sequence[str] | None = None, numeric_tolerance: str = "0.01", with_row_index: bool = True, order: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """Differing cells of two keyed tables. With ``order`` both are first prepared(): names trimmed,
+    nulls filled down, keys compared as text.
 
     One row for each missing row (``row_presence``) and each comparable cell that differs: numeric
     columns by an exact decimal tolerance, others by edit distance; a numeric cell that can't be
@@ -84,7 +94,9 @@ def compare_cells(base: DataFrame, scan: DataFrame, key_columns: Sequence[str],
 
     row_index needs one global order; without it the plan has only the join's shuffle.
     """
-    keys = list(key_columns)
+    keys = [k.strip() for k in key_columns] if order else list(key_columns)
+    if order:
+        base, scan = (prepared(x, keys, order, by) for x in (base, scan))
     joined = join_rows(base, scan, keys)
     if with_row_index:
         joined = numbered(joined, [F.col(k).asc_nulls_last() for k in keys] + [F.hash("base"), F.hash("scan")], "row_index")

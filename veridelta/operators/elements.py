@@ -6,6 +6,8 @@ greedily by score. Blocking by (pair, alignment, type) bounds the work.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +22,9 @@ COUNTED = ("paragraph", "table", "image", "signature", "header", "footer")
 
 DIFFERENCE = (
     "pair_id string, alignment_seq int, stage int, within_seq int, diff_type string, severity string, candidate_page int, baseline_page int, "
-    "candidate_element_id string, baseline_element_id string, message string, score double, candidate_text_preview string, baseline_text_preview string"
-)
+    "candidate_element_id string, baseline_element_id string, message string, score double, candidate_text_preview string, baseline_text_preview string, "
+    "requires_manual_review boolean, requires_table_compare boolean, candidate_bbox {box}, baseline_bbox {box}, location {box}, metadata map<string,string>"
+).format(box="struct<page_number:int,x0:double,y0:double,x1:double,y1:double>")
 
 
 def pair_pages(alignments: DataFrame, prints: DataFrame) -> DataFrame:
@@ -31,13 +34,22 @@ def pair_pages(alignments: DataFrame, prints: DataFrame) -> DataFrame:
     return alignments.join(side("candidate", "c"), ["pair_id", "candidate_index"], "left").join(side("baseline", "b"), ["pair_id", "baseline_index"], "left")
 
 
-def _row(stage: int, diff_type, severity, message, score=None, within=None, previews: bool = True):
+def _metadata(**values):
+    """A map of what is there, as text."""
+    entries = F.array(*(F.struct(F.lit(k).alias("key"), (v if not isinstance(v, str) else F.lit(v)).cast("string").alias("value")) for k, v in values.items()))
+    return F.map_from_entries(F.filter(entries, lambda x: x["value"].isNotNull()))
+
+
+def _row(stage: int, diff_type, severity, message, score=None, within=None, review: bool = False, **metadata):
+    box = "struct<page_number:int,x0:double,y0:double,x1:double,y1:double>"
+    metadata = {"alignment_status": F.col("status"), "alignment_score": F.col("score"), "alignment_reason": F.col("reason"), **metadata}
     as_col = lambda x: F.lit(x) if isinstance(x, str) else x
     return [
         F.col("pair_id"), F.col("alignment_seq"), F.lit(stage).alias("stage"), (within if within is not None else F.lit(0)).cast("int").alias("within_seq"), as_col(diff_type).alias("diff_type"), as_col(severity).alias("severity"),
         F.col("c.page_number").cast("int").alias("candidate_page"), F.col("b.page_number").cast("int").alias("baseline_page"), F.lit(None).cast("string").alias("candidate_element_id"), F.lit(None).cast("string").alias("baseline_element_id"),
         as_col(message).alias("message"), (score if score is not None else F.lit(None)).cast("double").alias("score"),
         F.coalesce(preview(F.col("c.normalized_text")), F.lit("")).alias("candidate_text_preview"), F.coalesce(preview(F.col("b.normalized_text")), F.lit("")).alias("baseline_text_preview"),
+        F.lit(review).alias("requires_manual_review"), F.lit(False).alias("requires_table_compare"), *(F.lit(None).cast(box).alias(n) for n in ("candidate_bbox", "baseline_bbox", "location")), _metadata(**metadata).alias("metadata"),
     ]
 
 
@@ -46,7 +58,27 @@ def status_differences(pairs: DataFrame) -> DataFrame:
     kind = F.when(F.col("status") == "candidate_added", "page_added").when(F.col("status") == "baseline_deleted", "page_deleted").when(F.col("status") == "possible_reordered", "page_reordered").when(F.col("status") == "low_confidence", "layout_changed")
     rows = pairs.withColumn("_kind", kind).where("_kind is not null")
     severity = F.when(F.col("_kind") == "layout_changed", "medium").otherwise("high")
-    return rows.select(*_row(0, F.col("_kind"), severity, F.concat(F.lit("Page alignment: "), "reason"), F.col("score")))
+    issue = F.when(F.col("status").isin("candidate_added", "baseline_deleted"), _issue())
+    return rows.select(*_row(0, F.col("_kind"), severity, F.concat(F.lit("Page alignment: "), "reason"), F.col("score"), page_issue_category=issue, suggested_review_severity=F.when(issue.isNotNull(), page_kind_severity(issue))))
+
+
+def _issue():
+    p = lambda n: F.coalesce(F.col(f"c.{n}"), F.col(f"b.{n}"))
+    return page_kind(p("normalized_text"), p("page_number"), p("is_blank"))
+
+
+def page_profile(prints: DataFrame, lead: int = 120) -> DataFrame:
+    """What a page is like: text length, blank or not, counts by type, number of tokens, beginning."""
+    count = lambda t: F.coalesce(F.try_element_at("type_counts", F.lit(t)), F.lit(0)).alias(f"{t}_count")
+    keys = [c for c in ("pair_id", "side", "page_index", "page_number") if c in prints.columns]
+    return prints.select(*keys, "text_length", "is_blank", F.size("tokens").alias("token_count"), *(count(t) for t in COUNTED), F.substring("normalized_text", 1, lead).alias("text_preview"))
+
+
+def table_need(pairs: DataFrame) -> DataFrame:
+    """Matched pages where either side holds a table (a separate query, not part of compare)."""
+    count = lambda p: F.coalesce(F.try_element_at(F.col(f"{p}.type_counts"), F.lit("table")), F.lit(0))
+    rows = pairs.where("status = 'matched'").select("pair_id", "alignment_seq", count("c").alias("candidate_tables"), count("b").alias("baseline_tables"))
+    return rows.where("candidate_tables + baseline_tables > 0")
 
 
 def classify_unmatched(pairs: DataFrame) -> DataFrame:
@@ -68,7 +100,7 @@ def page_differences(pairs: DataFrame, text_threshold: float = 0.98) -> DataFram
     severity = F.when((delta["table"] != 0) | (delta["image"] != 0), "high").otherwise("medium")
     layout = matched.where(changed).select(*_row(3, "layout_structure_changed", severity, F.format_string("Element counts differ: paragraphs %+d, tables %+d, images %+d", *delta.values())))
     total = lambda p: F.aggregate(F.map_values(F.map_filter(f"{p}.type_counts", lambda k, v: ~k.isin("paragraph", "table", "image"))), F.lit(0), lambda a, x: a + x)
-    other = matched.where(total("c") != total("b")).select(*_row(7, "layout_structure_changed", "medium", F.format_string("Count of other elements differs: %d and %d", total("c"), total("b"))))
+    other = matched.where(total("c") != total("b")).select(*_row(7, "layout_structure_changed", "medium", F.format_string("Count of other elements differs: %d and %d", total("c"), total("b")), review=True))
     return blank.unionByName(text).unionByName(layout).unionByName(other)
 
 
@@ -113,6 +145,10 @@ def greedy(scores: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]
     return out
 
 
+def _plain(box) -> dict | None:
+    return None if box is None else {n: box[n] for n in ("page_number", "x0", "y0", "x1", "y1")}
+
+
 def _equal(left: list[dict], right: list[dict]) -> list[tuple[float, int, int]]:
     """Paragraphs with equal texts score 1, the most there is, so greedy assignment takes them
     first: in order, before anything else needs a score."""
@@ -131,7 +167,7 @@ def element_differences(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     pages = pairs.where("status = 'matched'").select("pair_id", "alignment_seq", "candidate_index", "baseline_index", F.col("c.page_number").alias("candidate_page"), F.col("b.page_number").alias("baseline_page"))
     sided = pages.select("pair_id", "alignment_seq", "candidate_page", "baseline_page", F.inline(F.array(F.struct(F.lit("candidate").alias("side"), F.col("candidate_index").alias("page_index")), F.struct(F.lit("baseline").alias("side"), F.col("baseline_index").alias("page_index")))))
     rows = body.join(sided, ["pair_id", "side", "page_index"])
-    names = [c.split()[0] for c in DIFFERENCE.split(", ")]
+    names = [c.split()[0] for c in re.split(r", (?=\w+ )", DIFFERENCE)]
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         kind = key[2]
@@ -146,15 +182,23 @@ def element_differences(pairs: DataFrame, elements: DataFrame) -> DataFrame:
         pages = frame.iloc[0]
         out = []
 
-        def add(kind_, message, score, a, b):
-            out.append((key[0], key[1], stage, len(out), kind_, high, pages["candidate_page"], pages["baseline_page"], a and a["element_id"], b and b["element_id"], message, score, (a["text"] if a else "")[:120], (b["text"] if b else "")[:120]))
+        def add(kind_, message, score, a, b, review=False):
+            boxes = [_plain(e.get("bbox")) if e else None for e in (a, b)]
+            found = {"element_type": kind, "similarity": None if score is None else f"{score:.6f}"}
+            for side_, e in (("candidate", a), ("baseline", b)):
+                found |= {f"{side_}_{n}": e.get(n) for n in extra if n != "bbox"} if e else {}
+            found = {k: str(v) for k, v in found.items() if v is not None and v == v}
+            out.append((
+                key[0], key[1], stage, len(out), kind_, high, pages["candidate_page"], pages["baseline_page"], a and a["element_id"], b and b["element_id"], message, score, (a["text"] if a else "")[:120], (b["text"] if b else "")[:120],
+                review, kind == "table", *boxes, boxes[0], found,
+            ))
 
         taken = [*same, *greedy(scores)]
         for score, i, j in taken:
             if score >= unchanged:
                 continue
             what = changed if score >= modified else "low_confidence_element_match"
-            add(what, f"{kind} similarity {score:.4f}", score, left[i], right[j])
+            add(what, f"{kind} similarity {score:.4f}", score, left[i], right[j], review=score < modified)
         for i in sorted(set(range(len(left))) - {x[1] for x in taken}):
             add(f"{kind}_added", f"{kind} only in the candidate", None, left[i], None)
         for j in sorted(set(range(len(right))) - {x[2] for x in taken}):

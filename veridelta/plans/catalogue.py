@@ -30,15 +30,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---- derived inputs -------------------------------------------------------------------------
 
-_EN = "lang = 'en' AND strlen(text) = length(text)"
-_B_PAGES = f"b_pages AS (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) page_number, doc_id, text FROM documents WHERE {_EN})"
-_C_PAGES = f"c_pages AS (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) page_number, doc_id, CASE WHEN doc_id % 7 = 2 THEN replace(text, 'the', 'teh') ELSE text END AS text FROM documents WHERE {_EN} AND doc_id % 11 <> 3)"
+_WORDED = "text IS NOT NULL"
+_B_PAGES = f"b_pages AS (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) page_number, doc_id, text FROM documents WHERE {_WORDED})"
+_C_PAGES = f"c_pages AS (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) page_number, doc_id, CASE WHEN doc_id % 7 = 2 THEN replace(text, 'the', 'teh') ELSE text END AS text FROM documents WHERE {_WORDED} AND doc_id % 11 <> 3)"
 _B_CELLS = "b_cells AS (SELECT l_orderkey, l_linenumber, max(l_quantity) quantity, max(CAST(l_extendedprice AS DECIMAL(15,2))) price, max(l_returnflag) flag FROM lineitem WHERE l_orderkey % 19 <> 0 GROUP BY l_orderkey, l_linenumber)"
 _C_CELLS = "c_cells AS (SELECT l_orderkey, l_linenumber, max(l_quantity) + CASE WHEN l_orderkey % 13 = 0 THEN 1 ELSE 0 END quantity, max(CAST(l_extendedprice AS DECIMAL(15,2))) price, max(l_returnflag) flag FROM lineitem WHERE l_orderkey % 17 <> 0 GROUP BY l_orderkey, l_linenumber)"
 
 
-def _english(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("lang = 'en' AND octet_length(text) = length(text)")
+def _worded(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where("text IS NOT NULL")
 
 
 def _documents(spark, sf_dir):
@@ -51,11 +51,11 @@ def _paged(docs):
     return docs.select("source", number.alias("page_number"), "doc_id", "text")
 
 
-def b_pages(spark, sf_dir, docs=_english):
+def b_pages(spark, sf_dir, docs=_worded):
     return _paged(docs(spark, sf_dir))
 
 
-def c_pages(spark, sf_dir, docs=_english):
+def c_pages(spark, sf_dir, docs=_worded):
     edited = F.when(F.col("doc_id") % 7 == 2, F.replace("text", F.lit("the"), F.lit("teh"))).otherwise(F.col("text"))
     return _paged(docs(spark, sf_dir).where("doc_id % 11 <> 3").withColumn("text", edited))
 
@@ -103,10 +103,10 @@ def q_normalize_numeric(spark, sf_dir):
     return rows.withColumn("number", text.normalize_number("raw").cast("decimal(38,2)"))
 
 
-@query(f"WITH d AS (SELECT source, doc_id, list_distinct(regexp_extract_all(lower(text), '([\\p{{L}}\\p{{N}}_]+)', 1)) AS t FROM documents WHERE {_EN}), p AS (SELECT source, doc_id, t, lead(t) OVER w AS t2, lead(doc_id) OVER w AS next_id FROM d WINDOW w AS (PARTITION BY source ORDER BY doc_id)) SELECT doc_id, next_id, len(t)::BIGINT AS n_tokens, round(len(list_intersect(t, t2)) / (len(t) + len(t2) - len(list_intersect(t, t2))), 4) AS jaccard FROM p WHERE next_id IS NOT NULL")
+@query(f"WITH d AS (SELECT source, doc_id, list_distinct(regexp_extract_all(lower(text), '([\\p{{L}}\\p{{N}}_]+)', 1)) AS t FROM documents WHERE {_WORDED}), p AS (SELECT source, doc_id, t, lead(t) OVER w AS t2, lead(doc_id) OVER w AS next_id FROM d WINDOW w AS (PARTITION BY source ORDER BY doc_id)) SELECT doc_id, next_id, len(t)::BIGINT AS n_tokens, round(len(list_intersect(t, t2)) / (len(t) + len(t2) - len(list_intersect(t, t2))), 4) AS jaccard FROM p WHERE next_id IS NOT NULL")
 def q_tokens_jaccard(spark, sf_dir):
     w = Window.partitionBy("source").orderBy("doc_id")
-    rows = _english(spark, sf_dir).select("source", "doc_id", text.tokens("text").alias("t"))
+    rows = _worded(spark, sf_dir).select("source", "doc_id", text.tokens("text").alias("t"))
     rows = rows.select("doc_id", "t", F.lead("t").over(w).alias("t2"), F.lead("doc_id").over(w).alias("next_id")).where("next_id IS NOT NULL")
     return rows.select("doc_id", "next_id", F.size("t").cast("long").alias("n_tokens"), F.round(text.jaccard("t", "t2"), 4).alias("jaccard"))
 
@@ -356,9 +356,9 @@ def q_html_elements(spark, sf_dir):
     return ids.join(got, "page_id", "left").na.fill(0)
 
 
-@query("SELECT r_regionkey, row, col, rowspan, colspan, text FROM region, (VALUES (0, 0, 2, 1, 'A'), (0, 1, 1, 1, 'B'), (1, 1, 1, 2, 'C')) v(row, col, rowspan, colspan, text)")
+@query("SELECT r_regionkey, row, col, rowspan, colspan, text FROM region, (VALUES (0, 0, 2, 1, 'A'), (0, 1, 1, 1, 'B'), (1, 1, 1, 2, 'C c d ' || r_name)) v(row, col, rowspan, colspan, text)")
 def q_html_spans(spark, sf_dir):
-    table = F.lit("<table><tr><td rowspan=2>A</td><th>B</th></tr><tr><td colspan='2'> C </td></tr></table>")
+    table = F.concat(F.lit("<table><tr><td rowspan=2>A</td><th>B</th></tr><tr><td colspan='2'> C<b>c</b>d <i>"), "r_name", F.lit("</i></td></tr></table>"))
     rows = read(spark, sf_dir, "region").select("r_regionkey", html.spans(table).alias("s"))
     return rows.select("r_regionkey", F.inline("s")).select("r_regionkey", "row", "col", "rowspan", "colspan", "text")
 
@@ -381,7 +381,7 @@ def _comparison(spark, sf_dir, docs=_documents):
 
 @query(f"WITH {_B_PAGES}, {_C_PAGES} SELECT source AS pair_id, c.page_number - 1 AS candidate_index, b.page_number - 1 AS baseline_index FROM c_pages c JOIN b_pages b USING (source) WHERE sha256(trim(regexp_replace(c.text, '[\\s\\p{{Z}}]+', ' ', 'g'))) = sha256(trim(regexp_replace(b.text, '[\\s\\p{{Z}}]+', ' ', 'g')))")
 def q_align_exact(spark, sf_dir):
-    return align.align_exact(_comparison(spark, sf_dir, _english).prints).select("pair_id", "candidate_index", "baseline_index")
+    return align.align_exact(_comparison(spark, sf_dir, _worded).prints).select("pair_id", "candidate_index", "baseline_index")
 
 
 @query()
@@ -409,7 +409,7 @@ def q_classify_unmatched(spark, sf_dir):
 
 @query(f"WITH {_B_PAGES}, {_C_PAGES} SELECT source, c.page_number, len(list_filter(string_split(c.text, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS candidate_count, len(list_filter(string_split(b.text, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS baseline_count FROM c_pages c JOIN b_pages b USING (source, page_number) WHERE candidate_count <> baseline_count")
 def q_element_counts(spark, sf_dir):
-    prints = _comparison(spark, sf_dir, _english).prints
+    prints = _comparison(spark, sf_dir, _worded).prints
     n = F.coalesce(F.try_element_at("type_counts", F.lit("paragraph")), F.lit(0)).cast("long")
     side = lambda s: prints.where(F.col("side") == s).select(F.col("pair_id").alias("source"), "page_number", n.alias(f"{s}_count"))
     return side("candidate").join(side("baseline"), ["source", "page_number"]).where("candidate_count <> baseline_count")
@@ -429,3 +429,27 @@ def q_page_tables(spark, sf_dir):
     both = rows.where("table_id <> 4").withColumn("side", F.lit("baseline")).unionByName(scan.withColumn("side", F.lit("candidate")))
     pages = spark.range(25).select(F.lit("p").alias("pair_id"), F.col("id").cast("int").alias("alignment_seq"), F.col("id").cast("int").alias("candidate_index"), F.col("id").cast("int").alias("baseline_index"), F.lit("matched").alias("status"))
     return page_tables.compare_tables(pages, both, key_columns=["c_custkey"])
+
+
+# ---- tables with nulls, padded names and text keys ------------------------------------------
+
+_FILL = "WITH o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos FROM lineitem), s AS (SELECT l_orderkey, pos, CASE WHEN pos % 3 <> 2 THEN l_returnflag END AS flag, CASE WHEN pos % 4 <> 3 THEN CAST(l_extendedprice AS DECIMAL(15,2)) END AS price FROM o)"
+
+
+@query(
+    f"{_FILL}, f AS (SELECT l_orderkey, pos, last_value(flag IGNORE NULLS) OVER w AS base_flag, last_value(price IGNORE NULLS) OVER w AS base_price FROM s WINDOW w AS (PARTITION BY l_orderkey ORDER BY pos)), "
+    "x AS (SELECT l_orderkey, pos, CASE WHEN l_orderkey % 7 = 0 THEN 'ZZ' ELSE base_flag END AS flag, base_price + CASE WHEN l_orderkey % 5 = 0 THEN 1 ELSE 0 END AS price, base_flag, base_price FROM f), "
+    "c AS (SELECT l_orderkey, pos, 'flag' AS col, base_flag AS base_text, flag AS scan_text, 'text' AS kind FROM x WHERE levenshtein(coalesce(base_flag, ''), coalesce(flag, '')) > 1 UNION ALL SELECT l_orderkey, pos, 'price', CAST(base_price AS VARCHAR), CAST(price AS VARCHAR), 'numeric' FROM x WHERE abs(price - base_price) > 0.01) "
+    "SELECT CAST(l_orderkey AS VARCHAR) AS order_key, CAST(pos AS VARCHAR) AS line, col AS \"column\", kind AS comparison_type, base_text, scan_text FROM c"
+)
+def q_cell_diff_filled(spark, sf_dir):
+    """Cells of two tables whose nulls take the value above, with padded names and keys of blanks and digits."""
+    rank = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = read(spark, sf_dir, "lineitem").withColumn("at", F.row_number().over(rank))
+    flag, price = F.when(F.col("at") % 3 != 2, F.col("l_returnflag")), F.when(F.col("at") % 4 != 3, F.col("l_extendedprice").cast("decimal(15,2)"))
+    base = rows.select(F.col("l_orderkey").cast("string").alias("order_key"), F.concat(F.lit(" "), F.col("at").cast("string")).alias(" line"), flag.alias("flag "), price.alias("price"), "at")
+    changed = F.when(F.col("l_orderkey") % 7 == 0, F.lit("ZZ")).otherwise(flag)
+    scan = rows.select(F.concat(F.col("l_orderkey").cast("string"), F.lit("  ")).alias("order_key"), F.col("at").cast("string").alias("line"), changed.alias("flag"), (price + F.when(F.col("l_orderkey") % 5 == 0, 1).otherwise(0)).alias("price"), "at", F.col("l_orderkey").cast("string").alias("part"))
+    base = base.withColumn("part", F.col("order_key"))
+    found = cells.compare_cells(base, scan, ["order_key", "line"], numeric_columns=["price"], with_row_index=False, order=["at"], by=["part"])
+    return found.where("column <> 'part'").select("order_key", "line", "column", "comparison_type", "base_text", "scan_text")

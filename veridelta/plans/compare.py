@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridelta.operators import align, elements, evidence
+from veridelta.operators import align, elements, evidence, page_tables
 from veridelta.sources.shared import stored
 
 
 class DocumentComparison:
-    """Candidate and baseline documents as rows of pages and elements (see operators.align)."""
+    """Candidate and baseline documents as rows of pages and elements (see operators.align).
 
-    def __init__(self, pages: DataFrame, page_elements: DataFrame, **thresholds):
+    cells: the tables' cells in long form (see operators.page_tables). Where given, the tables of those
+    page pairs are compared of which some difference asks for it."""
+
+    def __init__(self, pages: DataFrame, page_elements: DataFrame, cells: DataFrame | None = None, key_columns: Sequence[str] = (), numeric_columns: Sequence[str] | None = None, **thresholds):
         self.pages, self.elements = pages, page_elements
+        self.cells, self.key_columns, self.numeric_columns = cells, key_columns, numeric_columns
         self.text_threshold = thresholds.pop("page_text_threshold", 0.98)
         self.thresholds = thresholds
         self.prints = align.fingerprints(pages, page_elements)
@@ -28,10 +33,18 @@ class DocumentComparison:
     def differences(self) -> DataFrame:
         pairs = elements.pair_pages(self.alignments, self.prints)
         found = elements.status_differences(pairs).unionByName(elements.page_differences(pairs, self.text_threshold))
-        return found.unionByName(elements.element_differences(pairs, self.elements))
+        found = found.unionByName(elements.element_differences(pairs, self.elements))
+        if self.cells is None:
+            return found
+        found = stored(found, "differences")  # read twice: as rows, and for what they ask
+        tables = page_tables.compare_tables(self.alignments, self.cells, page_tables.flagged(found), self.key_columns, self.numeric_columns)
+        numbers = pairs.select("pair_id", "alignment_seq", F.col("c.page_number").cast("int").alias("candidate_page"), F.col("b.page_number").cast("int").alias("baseline_page"))
+        named = F.map_filter(F.create_map(F.lit("candidate_table"), "candidate_table", F.lit("baseline_table"), "baseline_table"), lambda k, v: v.isNotNull())
+        tables = tables.join(numbers, ["pair_id", "alignment_seq"]).withColumns({"metadata": named, "stage": F.lit(8), "within_seq": F.lit(0), "requires_table_compare": F.col("diff_type").isin("table_added", "table_deleted")})
+        return found.unionByName(tables.drop("candidate_table", "baseline_table"), allowMissingColumns=True)
 
     def evidence(self) -> DataFrame:
-        return evidence.index(self.differences(), ["pair_id", "alignment_seq", "stage", "within_seq", "diff_type"])
+        return evidence.index(self.differences(), ["pair_id", "alignment_seq", "stage", "within_seq", "diff_type", "message"])
 
     def summary(self) -> DataFrame:
         return evidence.summary(self.evidence())

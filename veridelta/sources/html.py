@@ -17,12 +17,12 @@ class _Tables(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out, self.table, self.row, self.taken, self.cell = [], -1, -1, set(), None
+        self.out, self.table, self.row, self.taken, self.cell = [], -1, -1, [], None
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
             self.close_cell()
-            self.table, self.row, self.taken = self.table + 1, -1, set()
+            self.table, self.row, self.taken = self.table + 1, -1, []
         elif tag == "tr":
             self.close_cell()
             self.row += 1
@@ -33,10 +33,15 @@ class _Tables(HTMLParser):
             for name in ("rowspan", "colspan"):
                 value = (given.get(name) or "").strip()
                 spans.append(max(1, int(value)) if value.isdecimal() else 1)
-            col = 0
-            while (self.row, col) in self.taken:
-                col += 1
-            self.taken.update((self.row + i, col + j) for i in range(min(spans[0], 1000)) for j in range(min(spans[1], 1000)))
+            # Places taken by earlier cells, as (last row, first column, last column); past rows go.
+            self.taken = [x for x in self.taken if x[0] >= self.row]
+            col, moved = 0, True
+            while moved:
+                moved = False
+                for _, first, last in self.taken:
+                    if first <= col <= last:
+                        col, moved = last + 1, True
+            self.taken.append((self.row + spans[0] - 1, col, col + spans[1] - 1))
             self.cell = [max(self.table, 0), self.row, col, *spans, tag, []]
 
     def handle_endtag(self, tag):
@@ -50,7 +55,7 @@ class _Tables(HTMLParser):
     def close_cell(self):
         if self.cell is not None:
             *head, parts = self.cell
-            self.out.append((*head, " ".join("".join(parts).split())))
+            self.out.append((*head, " ".join(" ".join(parts).split())))
             self.cell = None
 
 
@@ -93,7 +98,7 @@ class _Elements(HTMLParser):
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
                 _, place, parts = self.open.pop(at)
-                self.out[place][1] = " ".join("".join(parts).split())
+                self.out[place][1] = " ".join(" ".join(parts).split())
                 return
 
     def handle_data(self, data):
@@ -106,7 +111,7 @@ def parse_elements(html: str | None) -> list[tuple[str, str]]:
     parser.feed(html or "")
     parser.close()
     for _, place, parts in parser.open:
-        parser.out[place][1] = " ".join("".join(parts).split())
+        parser.out[place][1] = " ".join(" ".join(parts).split())
     return [tuple(x) for x in parser.out]
 
 

@@ -11,7 +11,8 @@ from veridelta.functions.layout import element_type_of
 
 TYPE_KEYS = ("type", "label", "block_label", "block_type")
 TEXT_KEYS = ("text", "block_content", "content", "rec_text", "rec_texts")
-BOX_KEYS = ("bbox", "block_bbox", "coordinate", "box")
+BOX_KEYS = ("bbox", "box", "layout_bbox", "coordinate", "block_bbox")
+SCORE_KEYS = ("confidence", "score", "prob", "rec_scores")
 HTML_KEYS = ("pred_html", "html", "table_html")
 
 
@@ -25,13 +26,19 @@ def block(json: Column | str) -> Column:
     an unknown, empty block. A list of texts is joined by blanks; a box needs four numbers."""
     v = F.try_parse_json(json)
     kind = F.lower(F.trim(F.coalesce(_first(v, TYPE_KEYS, "string"), F.lit(""))))
-    listed = _first(v, TEXT_KEYS, "array<string>")
-    text = F.coalesce(F.array_join(listed, " "), _first(v, TEXT_KEYS, "string"), F.lit(""))
+    # One text goes before a list of them, the block's own before that below ``res``.
+    read = lambda at, k: F.coalesce(F.nullif(F.array_join(F.try_variant_get(v, f"$.{at}{k}", "array<string>"), " "), F.lit("")), F.nullif(F.try_variant_get(v, f"$.{at}{k}", "string"), F.lit("")))
+    places = [("", "text"), ("res.", "text"), ("res.", "rec_texts"), ("", "rec_texts"), *((at, k) for at in ("", "res.") for k in TEXT_KEYS if k not in ("text", "rec_texts"))]
+    text = F.coalesce(*(read(at, k) for at, k in places), F.lit(""))
     box = _first(v, BOX_KEYS, "array<double>")
     whole = (F.size(box) == 4) & ~F.exists(box, lambda x: x.isNull())
     page = F.coalesce(_first(v, ("page_number", "page_index"), "int"), F.lit(1))
     bbox = F.when(whole, F.struct(page.alias("page_number"), *(F.get(box, F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1")))))
-    return F.struct(kind.alias("block_type"), element_type_of(kind).alias("element_type"), text.alias("text"), bbox.alias("bbox"), _first(v, HTML_KEYS, "string").alias("html"))
+    source = F.coalesce(*(F.when(F.try_variant_get(v, f"$.{at}{k}", "array<double>").isNotNull(), F.lit(k)) for at in ("", "res.") for k in BOX_KEYS))
+    return F.struct(
+        kind.alias("block_type"), element_type_of(kind).alias("element_type"), text.alias("text"), bbox.alias("bbox"), _first(v, HTML_KEYS, "string").alias("html"),
+        _first(v, SCORE_KEYS, "double").alias("confidence"), F.when(bbox.isNotNull(), source).alias("bbox_source"),
+    )
 
 
 def blocks(pages: DataFrame, id_cols: Sequence[str], json: str) -> DataFrame:
