@@ -472,3 +472,17 @@ def keep_one(docs: DataFrame, columns: list[str], **options) -> DataFrame:
     once = rows.where("_rows = 1").select(*columns)
     again = rows.where("_rows > 1").dropDuplicates(["doc_id", "text"]).select(*columns)
     return once.unionByName(again).unionByName(docs.where("doc_id is null").select(*columns))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+places AS (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 4, 1))) AS p FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, p + 1, p + 5), ' ') AS g FROM places),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(d, x) AS (SELECT doc_id, doc_id FROM w UNION SELECT d, b FROM reach JOIN edges ON a = x),
+least AS (SELECT d, min(x) AS component_id FROM reach GROUP BY d)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id FROM w JOIN least ON d = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""

@@ -102,3 +102,28 @@ def keep(docs: DataFrame, columns: list[str], **options) -> DataFrame:
         return {name: left.column(name) for name in columns} if left.num_rows else None
 
     return map_arrow(docs.select(*columns), ddl, run)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+flat AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w),
+sizes AS (SELECT r, sum(length(word))::BIGINT AS chars, sum(strlen(word))::BIGINT AS bytes FROM flat GROUP BY r),
+lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM w),
+worded AS (SELECT r, line, pos, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS n FROM lines),
+dup AS (SELECT r, count(*) AS n_dup, sum(n)::BIGINT AS chars FROM (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY pos) AS k FROM worded WHERE n > 0) WHERE k > 1 GROUP BY r),
+limits(n, most) AS (VALUES (5, 0.15::DOUBLE), (6, 0.14::DOUBLE), (7, 0.13::DOUBLE), (8, 0.12::DOUBLE), (9, 0.11::DOUBLE), (10, 0.10::DOUBLE)),
+places AS (SELECT r, n, ws, unnest(range(len(ws) - n + 1)) AS p FROM w, limits),
+windows AS (SELECT r, n, p, array_to_string(list_slice(ws, p + 1, p + n), ' ') AS g FROM places),
+twice AS (SELECT r, n, p FROM (SELECT r, n, p, count(*) OVER (PARTITION BY r, n, g) AS c FROM windows) WHERE c > 1),
+inside AS (SELECT DISTINCT r, n, i FROM (SELECT r, n, p + unnest(range(n)) AS i FROM twice)),
+shares AS (SELECT r, n, count(*) AS words, sum(strlen(word))::BIGINT AS bytes FROM inside JOIN flat USING (r, i) GROUP BY r, n),
+worst AS (SELECT s.r, max(CASE WHEN s.n = 5 THEN words ELSE 0 END)::BIGINT AS n_repeat, max(s.bytes::DOUBLE / sizes.bytes) AS share, bool_or(s.bytes::DOUBLE / sizes.bytes > most) AS beyond
+          FROM shares s JOIN limits USING (n) JOIN sizes ON sizes.r = s.r GROUP BY s.r),
+m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(sizes.chars, 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+        coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, coalesce(dup.chars, 0)::DOUBLE / greatest(coalesce(sizes.chars, 0), 1) AS dup_line_share, coalesce(share, 0.0::DOUBLE) AS dup_ngram_share, coalesce(beyond, false) AS beyond
+      FROM w LEFT JOIN sizes USING (r) LEFT JOIN dup USING (r) LEFT JOIN worst USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT beyond AND dup_line_share <= 0.20::DOUBLE AS kept, dup_line_share, dup_ngram_share
+FROM m
+"""

@@ -33,6 +33,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+ORACLE_SQL["op6_quality_rules"] = quality.ORACLE_SQL
+
+
 @_query
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
@@ -72,3 +75,6 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.link(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+ORACLE_SQL["op2_ngram_jaccard"] = ngram_jaccard.ORACLE_SQL
