@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veridelta.llm import ann, chat_format, langid, license_scan, lm_scoring, mixing, quality, queries, toxicity
+from veridelta.llm import ann, bpe, chat_format, langid, license_scan, lm_scoring, mixing, quality, queries, toxicity
 from veridelta.llm.common import WordHashes, words_of
 
 SF = "/root/testdata/sf0.001"
@@ -424,3 +424,39 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
         assert empty.count() == 0
+
+
+def test_pipeline_stages_against_plain_versions(spark):
+    """Each stage on what its predecessor kept, against a version without Spark, on sf0.001."""
+    import tiktoken
+
+    import corpus_pipeline
+    import public_tokenizers
+    from tests.llm.test_ngram_jaccard import brute
+
+    columns = corpus_pipeline.COLUMNS
+    extra = docs(spark, [(None, "some words of a text without any id at all in it", "en", "src0"), (7, None, None, None)]).select("doc_id", "text", "lang", "source", F.lit(0).cast("long").alias("n_chars"))
+    read = spark.read.parquet(f"{SF}/documents.parquet").select(*columns).unionByName(extra)
+    rows = [tuple(r) for r in read.collect()]
+    model = langid.learn(read.select("doc_id", "text", "lang"))
+    stages = dict(corpus_pipeline.STAGES)
+    key = lambda found: sorted(map(str, found))
+    frame = lambda found: spark.createDataFrame(found, read.schema)
+
+    got = [tuple(r) for r in stages["language ID"](spark, frame(rows), SF).collect()]
+    assert key(got) == key(r for r in rows if model.decide(r[1])[2])
+    rows, got = got, [tuple(r) for r in stages["quality rules"](spark, frame(got), SF).collect()]
+    assert key(got) == key(r for r in rows if quality.measure(r[1], WordHashes(), 10, quality.NGRAM_LIMITS, quality.LINE_LIMIT)[6])
+    rows, got = got, [tuple(r) for r in stages["n-gram Jaccard join"](spark, frame(got), SF).collect()]
+    least = {i: c for i, _, c in brute([(r[0], r[1]) for r in rows if r[0] is not None])}
+    assert key(got) == key({r for r in rows if r[0] is None or least[r[0]] == r[0]})
+    rows, got = got, [tuple(r) for r in stages["mixing"](spark, frame(got), SF).collect()]
+    times, tokens = Counter(got), lambda found: Counter({s: sum(len(words_of(r[1])) for r in found if r[3] == s) for s in {r[3] for r in found}})
+    plan = mixing.plan_weights(dict(tokens(rows)), sum(tokens(rows).values()), 2.0)
+    longest = {s: max(len(words_of(r[1])) for r in rows if r[3] == s) for s in plan.budgets}
+    assert set(times) <= set(rows) and max(times.values()) <= 2
+    for s, budget in plan.budgets.items():
+        assert budget - longest[s] <= tokens(got)[s] <= budget + 1
+    enc = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(bpe.default_vocabulary()), special_tokens={})
+    last = stages["byte-level BPE"](spark, frame(got), SF).collect()
+    assert key((r.doc_id, tuple(r.ids)) for r in last) == key((r[0], tuple(enc.encode_ordinary(r[1] or ""))) for r in got)
