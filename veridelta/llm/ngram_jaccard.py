@@ -248,7 +248,10 @@ def _can_link(percent: int):
 
 
 def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Those pairs whose sketches differ in no more bits than linked sets of their sizes can."""
+    """Those pairs whose sketches differ in no more bits than linked sets of their sizes can. Of the
+    sketches (did, sketch, n; copies have the same) only those of the pairs' classes are shuffled."""
+    asked = pairs.select(F.col("a").alias("did")).union(pairs.select("b")).distinct()
+    sketches = sketches.join(asked, "did", "left_semi").groupBy("did").agg(F.any_value("sketch").alias("sketch"), F.any_value("n").alias("n"))
     side = lambda c: sketches.select(F.col("did").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("n").alias(f"n_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     xor = lambda x, y: x.bitwiseXOR(y)
@@ -364,9 +367,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75, least_heavy: int =
     docs = docs.select("doc_id", "text")
     survey = stored(_survey(docs, width), base, "survey")
     sketch = survey.where("h is null").select("doc_id", "n", "did")
-    rows = survey.where("did is not null and doc_id is not null")
-    reps = rows.groupBy("did").agg(F.min("doc_id").alias("doc_id"))
-    sketches = stored(rows.groupBy("did").agg(F.any_value("sketch").alias("sketch"), F.any_value("n").alias("n")), base, "sketches")
+    reps = sketch.where("did is not null and doc_id is not null").groupBy("did").agg(F.min("doc_id").alias("doc_id"))
     heavy = spark.sparkContext.broadcast(_heavy(survey, least_heavy, max_heavy))
     small = boundary(percent, _scanned(survey, percent, heavy))
     entries = stored(_lists(_postings(docs.where("doc_id is not null"), width, percent, small, heavy), percent), base, "entries-0")
@@ -375,7 +376,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75, least_heavy: int =
     while True:
         pairs = stored(_stars(entries, percent, partners, turn) if star else _all_pairs(entries, percent), base, f"pairs-{turn}")
         asked = pairs.count()
-        near = stored(_near(pairs, sketches, percent), base, f"near-{turn}")
+        near = stored(_near(pairs, survey.where("sketch is not null"), percent), base, f"near-{turn}")
         found = None if near.isEmpty() else stored(_verify(near, reps, docs, width, percent), base, f"links-{turn}")
         discard(spark, base, f"pairs-{turn}", f"near-{turn}")
         links = found.count() if found is not None else 0
