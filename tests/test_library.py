@@ -329,3 +329,17 @@ def test_duplicate_keys_of_the_whole_table(spark):
     got = [tuple(r) for r in __spark_entry__.queries()["q_cell_diff_dups_whole"](spark, SF).collect()]
     rows = con.execute("SELECT count(*) FROM lineitem").fetchone()[0]
     assert sorted(got) == sorted(want) and sum(n for _, n, _ in got) > 0.9 * rows
+
+
+def test_page_locator_ties(spark, tmp_path):
+    """Scores equal to four digits go by id, and flat vectors have no score, as in its SQL."""
+    rng = random.Random(5)
+    base = [rng.gauss(0, 1) for _ in range(64)]
+    rows = [(i, [x + (rng.gauss(0, 0.004) if i else 0) for x in base]) for i in range(40)]
+    rows += [(40, [1.0] * 64), (41, [0.0] * 64), (42, [float("nan"), *base[1:]]), (43, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.execute(__spark_entry__.oracle_sql()["q_page_locator"]).fetchall()
+    got = [tuple(r) for r in __spark_entry__.queries()["q_page_locator"](spark, str(tmp_path)).collect()]
+    assert [plain(list(r)) for r in got] == [plain(list(r)) for r in want]

@@ -16,22 +16,25 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def correlation(a: Column | str, b: Column | str) -> Column:
-    """Pearson correlation of two arrays; 0 where one is flat."""
+def correlation(a: Column | str, b: Column | str, flat: float = 0.0) -> Column:
+    """Pearson correlation of two arrays; ``flat`` where one is flat."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
     a, b = _centred(a), _centred(b)
     norm = F.sqrt(_dot(a, a) * _dot(b, b))
-    return F.when(norm == 0, 0.0).otherwise(_dot(a, b) / norm)
+    return F.when(norm == 0, flat).otherwise(_dot(a, b) / norm)
 
 
-def locate(pages: DataFrame, target: DataFrame, id_col: str, top_k: int = 10, thumb: str = "thumb", edges: str | None = None) -> DataFrame:
+def locate(pages: DataFrame, target: DataFrame, id_col: str, top_k: int = 10, thumb: str = "thumb", edges: str | None = None, digits: int | None = None, flat: float = 0.0) -> DataFrame:
     """The top_k pages most like the target (one row, column ``target``, and ``target_edges`` where
-    edges are given): .7 thumbnail + .3 edge correlation, or the thumbnail alone."""
+    edges are given): .7 thumbnail + .3 edge correlation, or the thumbnail alone. With ``digits``
+    scores are rounded before they rank, so pages that look alike to so many digits go by id."""
     rows = pages.join(F.broadcast(target.limit(1)))
-    image = correlation(thumb, "target")
-    edge = correlation(edges, "target_edges") if edges else image
+    image = correlation(thumb, "target", flat)
+    edge = correlation(edges, "target_edges", flat) if edges else image
     rows = rows.withColumns({"image_score": image, "edge_score": edge})
     rows = rows.withColumn("score", 0.7 * F.col("image_score") + 0.3 * F.col("edge_score") if edges else F.col("image_score"))
+    if digits is not None:
+        rows = rows.withColumns({c: F.round(c, digits) for c in ("score", "image_score", "edge_score")})
     return rows.select(id_col, "score", "image_score", "edge_score").orderBy(F.desc("score"), F.desc("image_score"), F.desc("edge_score"), id_col).limit(top_k)
 
 
