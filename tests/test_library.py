@@ -343,3 +343,70 @@ def test_page_locator_ties(spark, tmp_path):
     want = con.execute(__spark_entry__.oracle_sql()["q_page_locator"]).fetchall()
     got = [tuple(r) for r in __spark_entry__.queries()["q_page_locator"](spark, str(tmp_path)).collect()]
     assert [plain(list(r)) for r in got] == [plain(list(r)) for r in want]
+
+
+def test_alignment_of_a_long_pair(spark):
+    """One side far ahead of the other, windows of several widths: as worked out on whole lists."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(300)]
+    baseline = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(260)]
+    candidate = [f"new page {i} " + " ".join(rng.choice("xyz") for _ in range(9)) for i in range(120)] + [t for i, t in enumerate(baseline) if i % 5]
+    frame = lambda ps: spark.createDataFrame([("p", i + 1, t) for i, t in enumerate(ps)], "pair_id string, page_number int, text string")
+    for c, b in ((candidate, baseline), (baseline, candidate), (candidate, baseline[:4]), (candidate[:3], []), ([], baseline)):
+        prints = align.fingerprints(*compare.from_texts(frame(c), frame(b)))
+        sides = {"candidate": [], "baseline": []}
+        for r in prints.orderBy("page_index").collect():
+            sides[r.side].append(r.asDict() | {"tokens": set(r.tokens)})
+        for window in (0, 2, 5):
+            got = [(r.candidate_index, r.baseline_index, r.status) for r in align.align(prints, window=window).orderBy("alignment_seq").collect()]
+            assert got == brute_align(sides["candidate"], sides["baseline"], window=window)
+
+
+def test_texts_of_pages_are_shuffled_once(spark):
+    from veridelta.plans import catalogue
+
+    found = catalogue._comparison(spark, "/root/testdata/sf0.001")
+    plan = align.align(found.prints)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("+- == Initial Plan ==")[0].count("Exchange ") == 1
+    # What is read with the alignments holds no whole text.
+    kinds = elements.pair_pages(found.alignments, found.prints).schema["c"].dataType.names
+    assert not {"normalized_text", "tokens", "table_text"} & set(kinds)
+
+
+def test_line_and_element_fingerprints_agree(spark):
+    rows = [("p", "candidate", 1, "one\n\n two \n\tthree"), ("p", "baseline", 1, "\n \t\n"), ("p", "baseline", 2, None), ("p", "candidate", 2, ""), ("p", "candidate", 3, "é" * 200)]
+    pages, items = compare.from_sides(spark.createDataFrame(rows, "pair_id string, side string, page_number int, text string"))
+    key = lambda df: sorted(str(r) for r in df.drop("body").collect())
+    assert key(align.fingerprints(pages, items)) == key(align.fingerprints(pages.drop("lines"), items))
+
+
+def test_differences_are_worked_out_once(spark, monkeypatch):
+    kept, real = [], compare.stored
+    monkeypatch.setattr(compare, "stored", lambda df, name="part": (kept.append(name), real(df, name))[1])
+    frame = lambda ps: spark.createDataFrame([("p", i + 1, t) for i, t in enumerate(ps)], "pair_id string, page_number int, text string")
+    same = "alpha beta gamma delta\nepsilon zeta eta theta"
+    found = compare.DocumentComparison(*compare.from_texts(frame([same, same + " iota"]), frame([same, same])))
+    assert [r.diff_type for r in elements.element_differences(found.pairs, found.elements).collect()] == ["paragraph_modified"]
+    assert found.pairs.where("status = 'matched' and c.body <> b.body").count() == 1
+    found.evidence()
+    assert kept == ["alignments", "pairs", "found"]
+
+
+def test_ratio_is_difflibs():
+    rng = random.Random(4)
+    alphabets = ("ab", "abcdefgh ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" + " " * 8 + "eeeetttt", "éßa漢 ")
+    for n in range(800):
+        letters = rng.choice(alphabets)
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(1, rng.choice((5, 60, 250, 3000 if n % 20 == 0 else 300)))))
+        b = "".join(c if rng.random() < 0.97 else rng.choice(("", letters[0], letters[-1] * 2)) for c in a) if rng.random() < 0.6 else "".join(rng.choice(letters) for _ in range(rng.randint(1, 250)))
+        if b:
+            assert text.ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+            assert text._matched(a, b, few=0) == text._matched(a, b, few=1 << 40)
+
+
+def test_greedy_texts_is_greedy():
+    rng = random.Random(6)
+    for _ in range(200):
+        left, right = (["".join(rng.choice("ab c") for _ in range(rng.randint(0, 7))) for _ in range(rng.randint(0, 9))] for _ in range(2))
+        scores = [(s, i, j) for i, a in enumerate(left) for j, b in enumerate(right) if (s := text.ratio(a, b)) >= elements.LEAST]
+        assert elements.greedy_texts(left, right) == elements.greedy(scores)

@@ -30,8 +30,13 @@ class DocumentComparison:
         """Worked out once and kept: several branches of the comparison start from it."""
         return stored(align.align(self.prints, **self.thresholds), "alignments")
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """Alignments with what the comparison needs of both pages, kept too."""
+        return stored(elements.pair_pages(self.alignments, self.prints), "pairs")
+
     def differences(self) -> DataFrame:
-        pairs = elements.pair_pages(self.alignments, self.prints)
+        pairs = self.pairs
         found = elements.status_differences(pairs).unionByName(elements.page_differences(pairs, self.text_threshold))
         found = found.unionByName(elements.element_differences(pairs, self.elements))
         if self.cells is None:
@@ -44,7 +49,8 @@ class DocumentComparison:
         return found.unionByName(tables.drop("candidate_table", "baseline_table"), allowMissingColumns=True)
 
     def evidence(self) -> DataFrame:
-        return evidence.index(self.differences(), ["pair_id", "alignment_seq", "stage", "within_seq", "diff_type", "message"])
+        # Kept before they are numbered: range bounds are sampled, which would work them out twice.
+        return evidence.index(stored(self.differences(), "found"), ["pair_id", "alignment_seq", "stage", "within_seq", "diff_type", "message"])
 
     def summary(self) -> DataFrame:
         return evidence.summary(self.evidence())
@@ -56,10 +62,16 @@ class DocumentComparison:
 def from_texts(candidate: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages and paragraph elements of (pair_id, page_number, text) rows: one paragraph for each
     line that isn't blank."""
-    both = candidate.select(F.lit("candidate").alias("side"), "pair_id", "page_number", "text").unionByName(baseline.select(F.lit("baseline").alias("side"), "pair_id", "page_number", "text"))
-    both = both.withColumn("page_index", (F.col("page_number") - 1).cast("int"))
-    pages = both.select("pair_id", "side", "page_index", "page_number", F.col("text").alias("plain_text"))
+    sides = [df.select(F.lit(s).alias("side"), "pair_id", "page_number", "text") for s, df in (("candidate", candidate), ("baseline", baseline))]
+    return from_sides(sides[0].unionByName(sides[1]))
+
+
+def from_sides(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As from_texts, of (pair_id, side, page_number, text) rows. Pages carry their lines, so that
+    fingerprints need no elements."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    both = both.withColumn("page_index", (F.col("page_number") - 1).cast("int"))
+    pages = both.select("pair_id", "side", "page_index", "page_number", F.col("text").alias("plain_text"), lines.alias("lines"))
     rows = both.select("pair_id", "side", "page_index", "page_number", F.posexplode(lines).alias("element_ordinal", "text"))
     name = F.format_string("p%d-line-%d", "page_number", "element_ordinal")
     return pages, rows.select("pair_id", "side", "page_index", "element_ordinal", name.alias("element_id"), F.lit("paragraph").alias("element_type"), "text")
