@@ -112,3 +112,28 @@ def test_small_sets_share_a_subset():
     for n in range(1, 12):
         for x in range(n, n * 100 // 75 + 1):
             assert nj.need(x, 75) in nj.subset_sizes(n, 75) and nj.need(x, 75) in nj.subset_sizes(x, 75)
+
+
+def test_star_rounds_shuffle_entries_once(spark):
+    """And only sketches of classes asked for are shuffled, if these are few: fewer shuffles, the same pairs."""
+    rng = random.Random(3)
+    rows = sorted({(rng.randrange(40), d): (20, 0, rng.randrange(9)) for d in range(60) for _ in range(4)}.items())
+    entries = spark.createDataFrame([(*k, *v, k[1] % 17) for k, v in rows], "h long, did long, n int, pos int, own int, root long")
+    entries = nj.stored(nj._topped(entries), nj.shared_dir(spark), "entries")
+    tops = {}
+    for h in {k[0] for k, _ in rows}:
+        roots = [k[1] % 17 for k, _ in rows if k[0] == h]
+        tops[h] = max((roots.count(r), r) for r in roots)[1]
+    assert {(r.h, r.top) for r in entries.collect()} == set(tops.items())
+    stars = nj._stars(entries, 75, 6, 0)
+    assert str(stars._jdf.queryExecution().executedPlan()).count("Scan parquet") == 1
+    root = {k[1]: k[1] % 17 for k, _ in rows}
+    pairs = {(r.a, r.b) for r in stars.collect()}
+    exact = {(r.a, r.b) for r in nj._all_pairs(entries, 75).collect()}
+    assert pairs and all(root[a] != root[b] for a, b in pairs)
+    assert exact == {(min(x, y), max(x, y)) for (h, x), _ in rows for (g, y), _ in rows if h == g and root[x] != root[y]}
+    sketches = spark.createDataFrame([(d, [d % 3] * 32, 20) for d in range(60)], "did long, sketch array<long>, n int")
+    few, all_ = (nj._near(stars, sketches, 75, few=n) for n in (1_000_000, 0))
+    assert {tuple(r) for r in few.collect()} == {tuple(r) for r in all_.collect()}
+    exchanges = lambda df: str(df._jdf.queryExecution().optimizedPlan()).count("strategy=broadcast")
+    assert exchanges(few) and not exchanges(all_)

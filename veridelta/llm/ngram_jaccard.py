@@ -247,10 +247,12 @@ def _can_link(percent: int):
     return (100 * least >= percent * most) & ((F.col("pos") < 0) | (F.col("pos2") < 0) | ((100 + percent) * overlap >= percent * (n + n2)))
 
 
-def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int, few: int = 1_000_000) -> DataFrame:
     """Those pairs whose sketches differ in no more bits than linked sets of their sizes can. Of the
-    sketches (did, sketch, n; copies have the same) only those of the pairs' classes are shuffled."""
+    sketches (did, sketch, n; copies have the same) only those of the pairs' classes are shuffled, if
+    these are few: then their ids, 8 bytes each, go to every task. Otherwise all are, and give the same."""
     asked = pairs.select(F.col("a").alias("did")).union(pairs.select("b")).distinct()
+    asked = F.broadcast(asked) if asked.count() <= few else asked
     sketches = sketches.join(asked, "did", "left_semi").groupBy("did").agg(F.any_value("sketch").alias("sketch"), F.any_value("n").alias("n"))
     side = lambda c: sketches.select(F.col("did").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("n").alias(f"n_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -400,13 +402,20 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75, least_heavy: int =
 
 
 def _lists(posted: DataFrame, percent: int) -> DataFrame:
-    """The inverted lists of two classes or more: h, did, n, pos, own, root (of no component yet)."""
-    return _in_reach(posted.withColumn("root", F.col("did")), percent).dropDuplicates(["h", "did"])
+    """The inverted lists of two classes or more: h, did, n, pos, own, root (of no component yet), top."""
+    return _topped(_in_reach(posted.withColumn("root", F.col("did")), percent).dropDuplicates(["h", "did"]))
 
 
 def _open_lists(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Entries of the lists that still hold two components or more."""
-    return _in_reach(lists.drop("root").join(labels, "did", "left").withColumn("root", F.coalesce("root", "did")), percent)
+    return _topped(_in_reach(lists.drop("root", "top").join(labels, "did", "left").withColumn("root", F.coalesce("root", "did")), percent))
+
+
+def _topped(entries: DataFrame) -> DataFrame:
+    """Entries with their list's largest component as top. Like _in_reach, all within the lists: one shuffle does for both."""
+    counted = entries.withColumn("m", F.count("*").over(Window.partitionBy("h", "root")))
+    most = F.max(F.struct("m", "root")).over(Window.partitionBy("h"))
+    return counted.withColumn("top", most["root"]).drop("m")
 
 
 def _in_reach(entries: DataFrame, percent: int) -> DataFrame:
@@ -433,14 +442,14 @@ def _stars(entries: DataFrame, percent: int, partners: int, turn: int, centres:
     next few: those that hold the least of their own, that is of shingles not known to repeat. The
     order is the same in all lists, so the lists that two classes share offer the same centres, and
     how often a class meets one tells how alike they are."""
-    sizes = entries.groupBy("h", "root").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by(F.struct("root", "m"), F.struct("m", "root")).alias("t"))
-    sizes = sizes.select("h", F.col("t.root").alias("top"), F.col("t.m").alias("size"))
-    first = Window.partitionBy("h").orderBy((F.col("own") / F.col("n")).asc(), F.xxhash64("did"), "did")
-    tops = entries.join(sizes, "h").where("root = top").withColumn("at", F.row_number().over(first) - 1)
-    tops = tops.where(F.pmod(F.col("at") - turn * centres, F.col("size")) < centres)
-    tops = tops.select("h", F.col("did").alias("did2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), "top")
+    own = Window.partitionBy("h", "root").orderBy((F.col("own") / F.col("n")).asc(), F.xxhash64("did"), "did")
+    size = F.count("*").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    numbered = entries.repartition("h").withColumns({"at": F.row_number().over(own) - 1, "size": size})
+    centre = (F.col("root") == F.col("top")) & (F.pmod(F.col("at") - turn * centres, F.col("size")) < centres)
+    # At most so many for each list; the rows of a list stay where they are, so that entries are shuffled once.
+    offered = F.collect_list(F.when(centre, F.struct(F.col("did").alias("did2"), F.col("n").alias("n2")))).over(Window.partitionBy("h"))
     alike = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
-    near = entries.join(tops, "h").where((F.col("root") != F.col("top")) & alike)
+    near = numbered.withColumn("offered", offered).where("root <> top").select("did", "n", "pos", F.inline("offered")).where(alike)
     counted = near.groupBy("did", "did2").agg(F.count("*").alias("m"), F.max("n").alias("n"), F.min("pos").alias("pos"))
     # Likely ones only: the rest is left to the last round, which is exact.
     counted = counted.where((F.col("pos") < 0) | (10 * F.col("m") >= _posted(F.col("n"), percent)))
@@ -453,9 +462,8 @@ def _all_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
     Pairs form between the classes outside a list's largest component and all others there, where the
     bounds allow it: the join itself drops the rest."""
-    top = entries.groupBy("h", "root").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("root", F.struct("m", "root")).alias("top"))
-    minor = entries.join(top, "h").where("root <> top").drop("top")
-    others = entries.join(top, "h").select(F.col("h").alias("h2"), F.col("did").alias("did2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"), (F.col("root") != F.col("top")).alias("minor2"))
+    minor = entries.where("root <> top").select("h", "did", "n", "pos", "root")
+    others = entries.select(F.col("h").alias("h2"), F.col("did").alias("did2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"), (F.col("root") != F.col("top")).alias("minor2"))
     alike = (F.col("pos") < 0) == (F.col("pos2") < 0)
     # Two classes outside the largest component meet once, not twice.
     once = ~F.col("minor2") | (F.col("did") < F.col("did2"))
