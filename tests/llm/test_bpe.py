@@ -62,3 +62,21 @@ def test_table(spark, theirs):
     back = bpe.decode(bpe.encode(docs)).collect()
     assert sorted(r.text for r in back) == ["", "", "Hello wörld", "Hello wörld"]
     assert bpe.digests(docs.limit(0)).count() == 0
+
+
+def test_unfinished_code_points_only_step_to_their_end():
+    """Tokens after a split code point are taken whole again; chunks give the same ids as the pattern."""
+    enc = bpe.Encoder(bpe.default_vocabulary(), bpe.default_pattern())
+    plain = bpe.Encoder(bpe.default_vocabulary(), bpe.default_pattern() + "|(?!)")
+    text = "Ĳ one two. 𐍈three four, \U0001f9ff five!\nsix abc's ÍÑ x1 ²y " + "word " * 50 + "end"
+    ids = enc.encode(text).tolist()
+    assert ids == plain.encode(text).tolist() and plain.chunks is None and enc.chunks
+    dec = bpe.StreamDecoder(enc.machine.bytes_of)
+    assert dec.decode(ids) == text
+    moved, move = [], dec._move
+    dec._move = lambda token: moved.append(token) or move(token)
+    for cut in range(len(ids) + 1):
+        assert dec.feed(ids[:cut]) + dec.feed(iter(ids[cut:])) + dec.close() == text
+    moved.clear()
+    assert dec.decode(ids) == text and 0 < len(moved) < 30 < len(ids)
+    assert dec.decode(()) == "" and dec.decode(ids[:-1]) == text.removesuffix(enc.machine.bytes_of[ids[-1]].decode())

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -61,9 +62,11 @@ class Transducer:
         # Of each live suffix: its number, its length and the tokens that end it, longest first.
         self.suffixes: dict[bytes, int] = {}
         self.texts: list[bytes] = []
-        self.ends: list[list[tuple[int, int]]] = []
+        self.ends: list[list[tuple[int, int, dict[int, bool]]]] = []
         self.moves: list[dict[int, int]] = []
-        self.pairs: dict[tuple[int, int], bool] = {}
+        # Of each token: whether it forms a valid pair with a token before it.
+        self.pairs: dict[int, dict[int, bool]] = {}
+        self.n_pairs = 0
         self._suffix(b"")
         self._reset()
 
@@ -72,7 +75,7 @@ class Transducer:
         # position after the root (-1 where no live position's chain passes).
         self.keys: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.next: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self.next: list[dict[int, tuple]] = []  # byte -> state, how to look up its arrows, what is emitted
         self.final: list[tuple[int, ...] | None] = []
         self.start = self._state((0, -1, ()))
 
@@ -83,7 +86,7 @@ class Transducer:
             self.texts.append(text)
             self.moves.append({})
             ends = [(len(text) - i, self.ranks[text[i:]]) for i in range(len(text)) if text[i:] in self.ranks]
-            self.ends.append([x for x in ends if self.merge(self.bytes_of[x[1]]) == [x[1]]])
+            self.ends.append([(*x, self.pairs.setdefault(x[1], {})) for x in ends if self.merge(self.bytes_of[x[1]]) == [x[1]]])
         return found
 
     def _move(self, suffix: int, byte: int) -> int:
@@ -128,21 +131,23 @@ class Transducer:
             if at:
                 ranks[at - 1] = get(parts[at - 1] + parts[at])
 
-    def _valid(self, pair: tuple[int, int]) -> bool:
-        if len(self.pairs) > 400_000:
-            self.pairs.clear()
-        left, right = pair
-        known = self.pairs[pair] = left < 0 or self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-        return known
+    def _valid(self, left: int, right: int) -> bool:
+        if self.n_pairs > 400_000:
+            for known in self.pairs.values():
+                known.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        valid = self.pairs[right][left] = left < 0 or self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+        return valid
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _step(self, state: int, byte: int) -> tuple:
         suffix, root_token, last = self.states[state]
-        end, known, sizes = len(last) + 1, self.pairs.get, self.sizes  # positions count from the root
+        end, sizes = len(last) + 1, self.sizes  # positions count from the root
         suffix = self.moves[suffix].get(byte) or self._move(suffix, byte)
-        for size, token in self.ends[suffix]:
-            pair = (last[end - size - 1] if end > size else root_token, token)
-            valid = known(pair)
-            if valid or valid is None and self._valid(pair):
+        for size, token, known in self.ends[suffix]:
+            left = last[end - size - 1] if end > size else root_token
+            valid = known.get(left)
+            if valid or valid is None and self._valid(left, token):
                 break
         last = (*last, token)
         low = end - len(self.texts[suffix])
@@ -172,39 +177,44 @@ class Transducer:
         key = (suffix, root_token, kept)
         if len(self.states) >= self.max_states:
             self._reset()
-            return self._state(key), out
-        arrow = self.next[state][byte] = (self._state(key), out)
+            return self._arrow(key, out)
+        arrow = self.next[state][byte] = self._arrow(key, out)
         return arrow
 
+    def _arrow(self, key: tuple, out: tuple[int, ...]) -> tuple:
+        state = self._state(key)
+        return state, self.next[state].get, out
+
     def _rest(self, state: int, tail: bytes) -> tuple[int, ...]:
         """The remaining tokens of a short piece, without making states: most words that meet a
         new transition are never seen again, so only their first new state is kept."""
         suffix, root_token, last = self.states[state]
-        last, end, known, moves, ends = list(last), len(last), self.pairs.get, self.moves, self.ends
+        last, end, moves, ends = list(last), len(last), self.moves, self.ends
         for byte in tail:
-            end += 1
             suffix = moves[suffix].get(byte) or self._move(suffix, byte)
-            for size, token in ends[suffix]:
-                pair = (last[end - size - 1] if end > size else root_token, token)
-                valid = known(pair)
-                if valid or valid is None and self._valid(pair):
+            for size, token, known in ends[suffix]:
+                left = last[end - size] if end >= size else root_token
+                valid = known.get(left)
+                if valid or valid is None and self._valid(left, token):
                     break
+            end += 1
             last.append(token)
         return self._chain(last, end)
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         state, out, short = self.start, [], len(piece) <= 64
+        arrows = self.next[state].get
         for i, byte in enumerate(piece, 1):
-            arrow = self.next[state].get(byte)
+            arrow = arrows(byte)
             if arrow is None:
                 if short and len(self.states) >= self.max_states:
                     return (*out, *self._rest(state, piece[i - 1 :]))
                 arrow = self._step(state, byte)
                 if short:
-                    return (*out, *arrow[1], *self._rest(arrow[0], piece[i:]))
-            state = arrow[0]
-            if arrow[1]:
-                out.extend(arrow[1])
+                    return (*out, *arrow[2], *self._rest(arrow[0], piece[i:]))
+            state, arrows, emitted = arrow
+            if emitted:
+                out += emitted
         final = self.final[state]
         if final is None:
             last = self.states[state][2]
@@ -217,17 +227,21 @@ class _Irregular(Exception):
 
 
 class _Chunks(dict):
-    """What follows a single space, up to the next one -> the ids of it and its space."""
+    """What follows a single space, up to the next one -> the ids of it and its space, as 32-bit numbers."""
 
     def __init__(self, pieces: Encoder, bound: int):
         super().__init__()
         self.pieces, self.bound = pieces, bound
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        if not chunk or self.pieces.blank(chunk[0] + chunk[-1]):
-            raise _Irregular
-        find = self.pieces.find(" " + chunk)
-        ids = self.pieces.piece(find[0]) if len(find) == 1 else tuple(chain.from_iterable(map(self.pieces.__getitem__, find)))
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():  # one piece: a space and letters
+            ids = self.pieces.piece(" " + chunk)
+        else:
+            if not chunk or self.pieces.blank(chunk[0] + chunk[-1]):
+                raise _Irregular
+            find = self.pieces.find(" " + chunk)
+            ids = self.pieces.piece(find[0]) if len(find) == 1 else tuple(chain.from_iterable(map(self.pieces.__getitem__, find)))
+        ids = array("I", ids).tobytes()
         if len(chunk) <= 64:
             if len(self) >= self.bound:
                 self.clear()
@@ -269,8 +283,9 @@ class Encoder(dict):
             first, *rest = text.split(" ")
             if first and not self.blank(first[-1]):
                 try:
-                    found = [self.chunks[x] for x in rest]
-                    return np.fromiter(chain(chain.from_iterable(map(self.__getitem__, self.find(first))), chain.from_iterable(found)), np.uint32)
+                    found = b"".join(map(self.chunks.__getitem__, rest))
+                    head = array("I", chain.from_iterable(map(self.__getitem__, self.find(first)))).tobytes()
+                    return np.frombuffer(head + found, np.uint32)
                 except _Irregular:
                     pass
         return np.fromiter(chain.from_iterable(map(self.__getitem__, self.find(text))), np.uint32)
@@ -334,15 +349,22 @@ class StreamDecoder:
         return arrow[1]
 
     def feed(self, ids) -> str:
-        out, whole, move = [], self.whole.get, self._move
-        if not self.state:
-            out = list(map(whole, ids))
-            if None not in out:
-                return "".join(out)
-            out = []
-        for token in ids:
-            text = None if self.state else whole(token)
-            out.append(move(token) if text is None else text)
+        ids = ids if isinstance(ids, list) else list(ids)
+        out, at = list(map(self.whole.get, ids)), 0
+        while True:
+            # From an unfinished code point, or the next token not known to be whole, to the end of a code point.
+            if not self.state:
+                try:
+                    at = out.index(None, at)
+                except ValueError:
+                    break
+            while at < len(ids):
+                out[at] = self._move(ids[at])
+                at += 1
+                if not self.state:
+                    break
+            else:
+                break
         return "".join(out)
 
     def close(self) -> str:
