@@ -36,6 +36,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -45,11 +46,17 @@ from veridelta.llm.common import crc_mod, kept, map_arrow
 
 _words = re.compile(r"[^\W\d_]+").findall
 STARTS = (4, 5)
+LONGEST = max(STARTS)
+
+
+def starts_of(word: str) -> list[str]:
+    """A word's beginnings, marked as such: words with the same first LONGEST letters have the same."""
+    return [f"<{word[:n]}" for n in STARTS if len(word) >= n]
 
 
 def terms_of(word: str) -> list[str]:
-    """A word, and its beginnings, marked as such."""
-    return [word, *(f"<{word[:n]}" for n in STARTS if len(word) >= n)]
+    """A word, and its beginnings."""
+    return [word, *starts_of(word)]
 
 
 @dataclass
@@ -73,43 +80,52 @@ class Index:
 
     def vector(self, text: str | None, cache: dict) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers, in order, and their L2-normalised weights."""
-        known, ids, times = self.vocabulary, [], []
+        known = self.vocabulary.get
         if len(cache) > 200_000:
             cache.clear()
-        for word, n in Counter(_words((text or "").lower())).items():
-            found = cache.get(word)
-            if found is None:
-                found = cache[word] = tuple(known[t] for t in terms_of(word) if t in known)
-            ids.extend(found)
-            times.extend([n] * len(found))
-        if not ids:
-            return np.empty(0, np.int64), np.empty(0)
-        terms, back = np.unique(np.array(ids, np.int64), return_inverse=True)
+        words = Counter(_words((text or "").lower()))
+        counts = np.fromiter(words.values(), np.int64, len(words))
+        whole = np.fromiter(map(known, words, repeat(-1)), np.int64, len(words))
+        # Whole words are looked up; the numbers of the beginnings, of which there are fewer, are kept.
+        heads = [word[:LONGEST] for word in words]
+        found = list(map(cache.get, heads))
+        if None in found:
+            for at, (head, ids) in enumerate(zip(heads, found, strict=True)):
+                if ids is None:
+                    found[at] = cache[head] = tuple([i for t in starts_of(head) if (i := known(t)) is not None])
+        starts = np.fromiter(chain.from_iterable(found), np.int64)
+        ids = np.concatenate([whole[whole >= 0], starts])
+        if not len(ids):
+            return ids, np.empty(0)
+        times = np.concatenate([counts[whole >= 0], np.repeat(counts, np.fromiter(map(len, found), np.int64, len(found)))])
+        terms, back = np.unique(ids, return_inverse=True)
         counts = np.bincount(back, weights=times)
         w = (1 + np.log(counts)) * self.weight[terms]
         return terms, w / math.sqrt(float((w * w).sum()))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, skip: np.ndarray | None = None, ahead: int = 3) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples; those of the mask ``skip`` take no part."""
-        entries, back = _ranges(self.first[terms], self.first[terms + 1])
-        w, of = weights[back], self.blocks[entries]
-        bounds = np.bincount(of, w * self.maxima[entries], minlength=1)
+        entries, w = _ranges(self.first[terms], self.first[terms + 1], weights)
+        of = self.blocks.take(entries)
+        bounds = np.bincount(of, w * self.maxima.take(entries), minlength=1)
         first = np.zeros(len(bounds), bool)
         first[np.argpartition(-bounds, min(ahead, len(bounds) - 1))[:ahead]] = True
         scores = np.zeros(len(self.ids))
-        self._add(scores, entries, w, first[of])
-        best = self._best(scores, skip)
-        last = scores[best[-1]] if len(best) == self.k else 0.0
-        rest = ~first & (bounds > 0) & (bounds >= last - 1e-12)
+        self._add(scores, entries, w, first.take(of))
+        found = scores[scores > 0 if skip is None else (scores > 0) & ~skip]
+        last = np.partition(found, len(found) - self.k)[len(found) - self.k] if len(found) >= self.k else 0.0
+        rest = ~first & (bounds > 0) & (bounds >= last - 1e-11)
         if rest.any():
-            self._add(scores, entries, w, rest[of])
-            best = self._best(scores, skip)
+            self._add(scores, entries, w, rest.take(of))
+        best = self._best(scores, skip)
         return best, scores[best]
 
     def _add(self, scores: np.ndarray, entries: np.ndarray, w: np.ndarray, chosen: np.ndarray) -> None:
-        at = entries[chosen]
-        postings, back = _ranges(self.start[at], self.start[at + 1])
-        scores += np.bincount(self.example[postings], w[chosen][back] * self.value[postings], minlength=len(scores))
+        which = np.flatnonzero(chosen)
+        at = entries.take(which)
+        postings, w = _ranges(self.start.take(at), self.start.take(at + 1), w.take(which))
+        w *= self.value.take(postings)
+        scores += np.bincount(self.example.take(postings), w, minlength=len(scores))
 
     def _best(self, scores: np.ndarray, skip: np.ndarray | None) -> np.ndarray:
         at = np.flatnonzero(scores > 0 if skip is None else (scores > 0) & ~skip)
@@ -134,12 +150,12 @@ class Index:
         return p, self.ids[at].tolist()
 
 
-def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges [low, high), and the range of each."""
+def _ranges(low: np.ndarray, high: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges [low, high), and for each what ``of`` has of its range."""
     sizes = high - low
-    ends = np.cumsum(sizes)
-    back = np.repeat(np.arange(len(sizes)), sizes)
-    return np.arange(len(back)) + np.repeat(low - ends + sizes, sizes), back
+    numbers = np.repeat(high - np.cumsum(sizes), sizes)
+    numbers += np.arange(len(numbers))
+    return numbers, np.repeat(of, sizes)
 
 
 def _groups(sets: list[set[str]], labels: np.ndarray, rare: float = 0.01) -> np.ndarray:
